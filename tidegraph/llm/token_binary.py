@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ HEAD = struct.Struct("<8sIIQQII")
 GROUP_BYTES = 2 << 20
 SEGMENT_TOKENS = 2_000_000
 PARTITION_BYTES = 32 << 20
-KEPT_WORDS = 700_000
+KEPT_WORDS = 900_000
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 16
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -154,6 +158,20 @@ class Segment:
         return self.grammar.expand(self.symbols)
 
 
+# a word of letters with marks after it that no contraction begins with
+_STEM = re.compile(r"([^\W\d_]+)([.,;:!?|]*)\Z")
+
+
+def byte_level_alphabet() -> dict[int, int]:
+    """Byte-level tokenizers write printable Latin-1 bytes as themselves and the others from U+0100 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {b: b for b in same} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LEVEL = byte_level_alphabet()
+
+
 class WordEncoder:
     """Ids by white-space separated word, for tokenizers whose tokens never hold white space.
 
@@ -169,29 +187,80 @@ class WordEncoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         if self.vocabulary >= 65535:
             raise ValueError("ids must fit 16 bits beside the grammar's symbols")
-        self.lowers = "Lowercase" in repr(self.library.normalizer)
+        spec = json.loads(self.library.to_str())
+        steps = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        self.lowers = '"Lowercase"' in steps
+        letters_apart = json.dumps(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")[1:]
+        self.plain = self.lowers and all(x in steps for x in ('"NFC"', '"ByteLevel"', letters_apart))
+        self.marks: dict[str, list[int]] = {}
         self.begin()
 
     def begin(self) -> None:
         self.known: dict[bytes | None, int] = {None: 0}
         self.pool, self.starts, self.sizes = np.array([65535], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def learn(self, words: list[bytes | None]) -> None:
-        fresh = list(set(words).difference(self.known))
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.begin()
-            fresh = list(set(words).difference(self.known))
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def fresh_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words not seen before.
+
+        The pre-tokeniser always parts letters from the marks after them, so a word of letters, then marks,
+        has the ids of both; letters that the normaliser leaves alone go to the model without the steps before it.
+        """
+        if not self.plain:
+            return self.whole(words)
+        out: list[list[int] | None] = [None] * len(words)
+        stems: dict[str, list[int]] = {}
+        other, tokenize, pool = [], self.library.model.tokenize, self.pool
+        for i, word in enumerate(words):
+            m = _STEM.match(word)
+            stem = m[1] if m else ""
+            if not stem or not stem.isalpha() or not (stem.isascii() or (stem == stem.lower() and "\u03c2" not in stem and unicodedata.is_normalized("NFC", stem))):
+                other.append(i)
+                continue
+            ids = stems.get(stem)
+            if ids is None:
+                at = self.known.get(stem.encode())
+                if at is not None and at < len(self.starts):
+                    ids = pool[self.starts[at]:self.starts[at] + self.sizes[at]].tolist()
+                else:
+                    ids = [x.id for x in tokenize(stem.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+                stems[stem] = ids
+            if m[2]:
+                if m[2] not in self.marks:
+                    self.marks[m[2]] = self.whole([m[2]])[0]
+                ids = ids + self.marks[m[2]]
+            out[i] = ids
+        for i, ids in zip(other, self.whole([words[i] for i in other])):
+            out[i] = ids
+        return out
+
+    def learn(self, fresh: list[bytes]) -> None:
         pools, sizes = [self.pool], []
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
-            ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            ids = self.fresh_ids([w.decode() for w in part])
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
             sizes += map(len, ids)
-            pools.append(np.array([y for x in ids for y in x], np.uint16))
-        if fresh:
-            self.pool = np.concatenate(pools)
-            self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
-            self.starts = np.cumsum(self.sizes) - self.sizes
+            pools.append(np.fromiter(chain.from_iterable(ids), np.uint16))
+        self.pool = np.concatenate(pools)
+        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def places(self, words: list[bytes | None]) -> np.ndarray:
+        """Numbers of the words in the pool; words not seen before are learned."""
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            fresh = {words[i] for i in missing}
+            if len(self.known) + len(fresh) > KEPT_WORDS:
+                self.begin()
+                self.learn(list(set(words).difference(self.known)))
+                return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.learn(list(fresh))
+            out[missing] = [self.known[words[i]] for i in missing]
+        return out
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
         """Ids of the texts, 65535 after each."""
@@ -200,8 +269,8 @@ class WordEncoder:
             raw = (x or "").encode()
             words += (raw.lower() if self.lowers and b"<|" not in raw else raw).split()
             words.append(None)
-        self.learn(words)
-        return gather(self.starts, self.sizes, self.pool, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        at = self.places(words)
+        return gather(self.starts, self.sizes, self.pool, at)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
