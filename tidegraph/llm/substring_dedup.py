@@ -49,7 +49,7 @@ def compact_windows(s: np.ndarray, offsets: np.ndarray, t: int, which: int) -> t
     none = np.zeros(0, np.int64)
     if n < t:
         return none, none, none
-    g = (mix(s + _STEP * np.uint64(which + 1)) & ~_PLACE) | np.arange(n, dtype=np.uint64)
+    g = (mix(s + _STEP * np.array([which + 1], np.uint64)) & ~_PLACE) | np.arange(n, dtype=np.uint64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     values = sliding_minima(g, t)[doc[:n - t + 1] == doc[t - 1:]]
     if not len(values):
@@ -105,7 +105,11 @@ def overlaps(f: np.ndarray, first: np.ndarray, last: np.ndarray, agree: int, lea
 
 
 def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches of ``x``, ``least`` tokens or more, that stand in ``y`` along a diagonal with Jaccard >= PERCENT."""
+    """Stretches of ``x`` in which windows of ``least`` tokens stand in ``y`` along a diagonal.
+
+    A window and as many tokens of ``y`` that share c of them have Jaccard c / (2 * least - c); the
+    windows with PERCENT or more are joined where they meet or overlap.
+    """
     order = np.argsort(y, kind="stable")
     at = np.searchsorted(y[order], x)
     found = np.flatnonzero((at < len(y)) & (y[order][np.minimum(at, len(y) - 1)] == x)) if len(y) else np.zeros(0, np.int64)
@@ -123,14 +127,18 @@ def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[i
             return []
     breaks = np.flatnonzero((np.abs(np.diff(shift)) > GRID // 4) | (np.diff(found) > least)) + 1
     out = []
-    for own in np.split(np.arange(len(found)), breaks):
-        a, b = int(found[own[0]]), int(found[own[-1]])
+    for own in np.split(found, breaks):
+        a, b = int(own[0]), int(own[-1])
         if b - a + 1 < least:
             continue
-        one, two = np.unique(x[a:b + 1]), np.unique(y[place[own].min():place[own].max() + 1])
-        common = len(np.intersect1d(one, two, assume_unique=True))
-        if 100 * common >= PERCENT * (len(one) + len(two) - common):
-            out.append((a, b))
+        hit = np.zeros(b - a + 2, np.int64)
+        hit[own - a + 1] = 1
+        sums = np.cumsum(hit)
+        good = np.flatnonzero((100 + PERCENT) * (sums[least:] - sums[:-least]) >= 2 * PERCENT * least)
+        if len(good):
+            cuts = np.flatnonzero(np.diff(good) > least) + 1
+            for part in np.split(good, cuts):
+                out.append((a + int(part[0]), a + int(part[-1]) + least - 1))
     return out
 
 
@@ -141,7 +149,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     its subsequences by min-hash; windows of different documents with the same min-hash meet, each with the
     first document and with the one before it, so what is made is linear in the windows however many
     documents share a passage. For a pair of documents, stretches under windows of two hash functions or
-    more are candidates; the shingles there are compared exactly: 50 words or more, Jaccard 0.75 or more.
+    more are candidates; the shingles there are compared exactly, in windows of 50 words with Jaccard 0.75 or more.
     Copies of a whole text are found by its hash and give one passage with all their words.
 
     Nulls: null and short texts have no passages, rows without an id are left out. Rows with the same id are
@@ -192,7 +200,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                 for h in range(HASHES):
                     c, first, last = compact_windows(s, offsets, t, h)
                     at = np.searchsorted(offsets, c, side="right") - 1
-                    sig = (mix(s[c] ^ (_STEP * np.uint64(h + 1))) & ~np.uint64(7)) | np.uint64(h)
+                    sig = (mix(s[c] ^ (_STEP * np.array([h + 1], np.uint64))) & ~np.uint64(7)) | np.uint64(h)
                     held.append((sig, own[at], first - offsets[at], last - offsets[at]))
                     size += len(c)
                 if size > 1_000_000:
@@ -300,7 +308,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = repeated_passages(docs, LEAST_WORDS, doc_id, text).where("doc_id > source_id").groupBy("doc_id").agg(F.collect_set(F.struct("begin_word", "end_word")).alias("_tg_spans"))
     spans = materialize(spans.withColumnRenamed("doc_id", doc_id), "passage-spans")
     joined = docs.join(spans, doc_id, "left").select(*docs.columns, "_tg_spans")
-    schema = docs.schema
+    schema, columns = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +317,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if s:
                     texts[i] = cut_words(texts[i] or "", [(x["begin_word"], x["end_word"]) for x in s])
                 keep.append(not s or bool(_WORD.search(texts[i])))
-            cols = {c: batch.column(c) for c in docs.columns}
+            cols = {c: batch.column(c) for c in columns}
             cols[text] = pa.array(texts, pa.string())
             if n_chars in cols:
                 cols[n_chars] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.column(n_chars).type)
