@@ -90,11 +90,28 @@ def _dealt(n: int, key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int,
             yield i, [x[cuts[i]:cuts[i + 1]].tobytes() for x in arrays]
 
 
-def first_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[int, int], float]:
-    """Over all documents: top halves of the hashes that are frequent among sets' first elements, the number
-    of sets of each small size, and the mean length of the list in which an element stands.
+def pack_sorted(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Distinct sorted 32-bit values with counts: gaps in 16 bits, wide gaps, and the counts over one."""
+    gaps = np.diff(values.astype(np.int64), prepend=0)
+    wide = gaps >= 65535
+    many = np.flatnonzero(counts > 1)
+    return [np.where(wide, 65535, gaps).astype(np.uint16).tobytes(), gaps[wide].astype(np.uint32).tobytes(), np.stack((many, counts[many])).astype(np.uint32).tobytes()]
 
-    Counts are per task and then per bucket; what reaches the driver is bounded by HOT_KEPT.
+
+def unpack_sorted(gaps: bytes, wide: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps = np.frombuffer(gaps, np.uint16).astype(np.int64)
+    gaps[gaps == 65535] = np.frombuffer(wide, np.uint32)
+    counts = np.ones(len(gaps), np.int64)
+    at, n = np.frombuffer(many, np.uint32).reshape(2, -1)
+    counts[at] = n
+    return np.cumsum(gaps).astype(np.uint32), counts
+
+
+def frequent_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[int, int], float]:
+    """Over all documents and all elements: top halves of the hashes in more than HOT sets, the number of
+    sets of each small size, and the mean length of the list in which an element stands.
+
+    Counts are per task and then per range of hashes; what reaches the driver is bounded by HOT_KEPT.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +119,15 @@ def first_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[int,
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, small
-            top, n = np.unique(np.concatenate(held), return_counts=True)
-            rows = list(_dealt(buckets, top.astype(np.uint64), top, n.astype(np.uint32)))
-            rows.append((-1, [np.arange(MANY, dtype=np.uint32).tobytes(), small.astype(np.uint32).tobytes()]))
+            top = np.sort(np.concatenate(held))
+            begins = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+            n = np.diff(np.append(begins, len(top)))
+            top = top[begins]
+            cuts = np.searchsorted(top, np.arange(buckets + 1, dtype=np.int64) * (1 << 32) // buckets)
+            rows = [(i, *pack_sorted(top[x:y], n[x:y])) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+            rows.append((-1, *pack_sorted(np.arange(1, MANY), small[1:])))
             held, size, small = [], 0, np.zeros(MANY, np.int64)
-            return pa.record_batch([pa.array([i for i, _ in rows], pa.int32()), *[pa.array([x[j] for _, x in rows], pa.binary()) for j in (0, 1)]], ["bucket", "tops", "counts"])
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3)]], ["bucket", "gaps", "wide", "many"])
 
         for _, sets in _sets(batches):
             for u in sets:
@@ -115,33 +136,34 @@ def first_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[int,
                     continue
                 seen.add(key)
                 small[len(u) if len(u) < MANY else 0] += 1
-                part = u[:len(u) - least_overlap(len(u)) + MATCHES + len(u) // 8]
-                held.append((part >> np.uint64(32)).astype(np.uint32))
-                size += len(part)
-            if size > 2_000_000:
+                held.append((u >> np.uint64(32)).astype(np.uint32))
+                size += len(u)
+            if size > 4_000_000:
                 yield flush()
         if held:
             yield flush()
 
     def add(table: pa.Table) -> pa.Table:
-        top = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("tops")])
-        n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
+        parts = [unpack_sorted(*(x.as_py() for x in row)) for row in zip(*(table.column(c) for c in ("gaps", "wide", "many")))]
+        top, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        if table.column("bucket")[0].as_py() < 0:
+            # sizes without a set count one here for each blob
+            sums = np.bincount(top, n, MANY)[1:].astype(np.int64)
+            return pa.table([pa.array(-3 - np.arange(1, MANY)), pa.array(sums)], ["top", "n"])
         order = np.argsort(top, kind="stable")
         top, n = top[order], n[order]
         begins = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
         sums = np.add.reduceat(n, begins)
-        top = top[begins].astype(np.int64)
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.table([pa.array(-3 - top), pa.array(sums)], ["top", "n"])
         keep = sums > HOT
-        total = np.array([len(sums), int((sums * sums).sum()), int(sums.sum())])
-        return pa.table([pa.array(np.concatenate((top[keep], [-1, -2, -2000]))), pa.array(np.concatenate((sums[keep], total)))], ["top", "n"])
+        light = sums[~keep]
+        total = np.array([int((light * light).sum()), int(light.sum())])
+        return pa.table([pa.array(np.concatenate((top[begins][keep].astype(np.int64), [-1, -2]))), pa.array(np.concatenate((sums[keep], total)))], ["top", "n"])
 
-    blobs = map_batches(docs, count, "bucket int, tops binary, counts binary")
+    blobs = map_batches(docs, count, "bucket int, gaps binary, wide binary, many binary")
     found = materialize(blobs.groupBy("bucket").applyInArrow(add, "top long, n long"), "jaccard-elements")
     hot = found.where("top >= 0").orderBy(F.desc("n"), "top").limit(HOT_KEPT).select("top").toArrow()
     told = {r["top"]: r["n"] for r in found.where("top < 0").groupBy("top").agg(F.sum("n").alias("n")).collect()}
-    length = told.get(-2, 0) / max(1, told.get(-2000, 0))
+    length = told.get(-1, 0) / max(1, told.get(-2, 0))
     return np.sort(hot.column("top").to_numpy().astype(np.uint32)), {n: told.get(-3 - n, 0) for n in range(1, MANY)}, length
 
 
@@ -294,7 +316,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     docs = docs.selectExpr(f"cast({doc_id} as long) as doc_id", f"{text} as text")
     buckets = partitions_for(total_bytes(docs, "text"), BUCKET_BYTES, 8)
-    hot, small_sizes, list_length = first_elements(docs, buckets)
+    hot, small_sizes, list_length = frequent_elements(docs, buckets)
     maybe_hot = docs.sparkSession.sparkContext.broadcast(hot)
     light = light_boundary(small_sizes, list_length)
 
