@@ -37,6 +37,16 @@ def matches_for(n):
     return np.where(np.asarray(n) >= MANY, MATCHES, 1)
 
 
+def needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Prefix elements that two sets of these sizes share at least if they link.
+
+    What the set whose prefix ends first shares with the other lies in the other's prefix or after its own.
+    """
+    overlap = -(-PERCENT * (x + y) // (100 + PERCENT))
+    after = np.maximum(-(-PERCENT * x // 100) - matches_for(x), -(-PERCENT * y // 100) - matches_for(y))
+    return np.maximum(overlap - after, 1)
+
+
 def set_key(u: np.ndarray) -> int:
     """A set's class key: 64 bits of a hash over its sorted elements."""
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -232,7 +242,7 @@ def _list_pairs(sig: np.ndarray, key: np.ndarray, n: np.ndarray, light: int) ->
     tables = []
     if left:
         x, y = np.concatenate(left), np.concatenate(right)
-        need = np.where(subsets[x], 1, np.minimum(matches_for(n[x]), matches_for(n[y])))
+        need = np.where(subsets[x], 1, needed(n[x].astype(np.int64), n[y].astype(np.int64)))
         # a pair of two light sets is counted in subsets only, any other in lists only
         tables.append(_out(PAIRS, *_counted(key[x], key[y], need)))
     long = np.flatnonzero(length > SHORT_LIST)
@@ -266,7 +276,7 @@ def _cross_pairs(sig: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndar
             left.append(np.full(len(at), i))
             right.append(at)
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    need = np.where((sig[x] & np.uint64(1)).astype(bool), 1, np.minimum(matches_for(n[x]), matches_for(n[y])))
+    need = np.where((sig[x] & np.uint64(1)).astype(bool), 1, needed(n[x].astype(np.int64), n[y].astype(np.int64)))
     return _out(PAIRS, *_counted(key[x], key[y], need))
 
 
@@ -304,8 +314,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Sets with the same elements form a class, which is joined once. Small sets enumerate pairs of their
     prefix elements; larger ones scan the inverted lists of theirs, in an order that puts frequent elements
-    last; the boundary is the one of least cost. Two sets that link share at least three prefix elements if
-    both are large, so rarer meetings need no test. Lists of up to 16 sets give all their pairs; longer ones
+    last; the boundary is the one of least cost. Their sizes say how many prefix elements two sets that link
+    share at least; pairs with fewer need no test. Lists of up to 16 sets give all their pairs; longer ones
     first give a star and a chain, and once these have been tested, every pair that still lies in different
     components. No list is cut, no pair sampled: components are exact.
 
