@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from .support import byte_groups, map_batches
 
 GROUP_BYTES = 1 << 20
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 400_000
 BLANK = "▁"
 # Blanks and line feeds begin a chunk; no piece of a splitting vocabulary reaches over that place.
 _CHUNK = re.compile(r"[ \n]+[^ \n]*")
@@ -100,23 +101,26 @@ def normalize_with_alignment(text: str, table: CharacterMap, dummy_prefix: bool
 class Encoded:
     """Ids of one text; spans are computed when asked for."""
 
-    def __init__(self, text: str, parts: list[tuple], codec: Codec) -> None:
-        self.text, self.parts, self.codec = text, parts, codec
+    def __init__(self, text: str, parts: list[tuple], codec: Codec, chunked: bool) -> None:
+        self.text, self.parts, self.codec, self.chunked = text, parts, codec, chunked
+        self._ids, self._decimals, self._sizes = zip(*parts) if parts else ((), (), ())
 
     @property
     def ids(self) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.parts))
+        return list(chain.from_iterable(self._ids))
 
     def joined(self) -> str:
-        return ",".join([p[1] for p in self.parts if p[1]])
+        return ",".join(filter(None, self._decimals))
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last+1 original byte of each piece; a blank put in front has an empty span."""
-        normal, places = self.codec.normalized(self.text)
-        ends = np.cumsum(np.frombuffer(b"".join(p[2] for p in self.parts), np.uint16), dtype=np.int64)
-        if (int(ends[-1]) if len(ends) else 0) != len(places) - 1:
-            raise ValueError("pieces do not cover the normalised text")
-        return places[np.concatenate(([0], ends[:-1]))] if len(ends) else ends, places[ends] if len(ends) else ends
+        sizes = np.frombuffer(b"".join(self._sizes), np.uint32)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if self.chunked:  # the first chunk begins with the blank that the library puts in front
+            ends = np.maximum(ends - 1, 0)
+        if (int(ends[-1]) if len(ends) else 0) != len(self.text.encode()) and self.parts and self.codec.lossless:
+            raise ValueError("pieces do not cover the text")
+        return np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1])), ends
 
     def decoded(self) -> str:
         return self.codec.library.decode(self.ids)
@@ -137,46 +141,61 @@ class Codec:
         self.options = (spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.sizes = [1 if self.library.is_byte(i) else len(x.encode()) for i, x in enumerate(pieces)]
+        self.own_sizes = [n - 2 * x.count(BLANK) for n, x in zip(self.sizes, pieces)]
+        self.numbers = list(range(len(pieces)))  # shared by all kept entries
         self.unknown = self.library.unk_id()
+        self.lossless = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
         self.blank = self.library.piece_to_id(BLANK)
         crosses = any(re.search(f"[^{BLANK}]{BLANK}|\n.", x) for x in pieces)
         # chunks are safe for plain models whose pieces hold blanks in front only
-        self.splits = not self.table.units and self.options == (True, False, True) and not crosses and "\n" not in pieces and self.blank != self.unknown
+        self.splits = not self.table.units and self.options == (True, False, True) and not crosses and "\n" not in pieces and self.blank != self.unknown and self.library.is_byte(self.library.piece_to_id("<0x0A>"))
         self.known: dict[str, tuple] = {}
 
     def normalized(self, text: str) -> tuple[str, np.ndarray]:
         return normalize_with_alignment(text, self.table, *self.options)
 
     def entry(self, ids: list[int], text: str) -> tuple:
+        """Ids, their decimals, and how many original bytes each covers, by the normaliser's alignment."""
         if self.unknown in ids:
-            sizes = [len(p.piece.encode()) if p.id == self.unknown else self.sizes[p.id] for p in self.library.encode(text, out_type="immutable_proto").pieces][-len(ids):]
+            sizes = [len(p.piece.encode()) if p.id == self.unknown else self.sizes[p.id] for p in self.library.encode(text, out_type="immutable_proto").pieces]
         else:
             sizes = [self.sizes[i] for i in ids]
-        return ids, ",".join(map(str, ids)), np.array(sizes, np.uint16).tobytes()
+        normal, places = self.normalized(text)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if len(ends) and ends[-1] != len(places) - 1:
+            raise ValueError("pieces do not cover the normalised text")
+        own = np.diff(places[ends], prepend=0) if len(ends) else ends
+        return ids, ",".join(map(str, ids)), own.astype(np.uint32).tobytes()
+
+    def chunk_entry(self, ids: list[int]) -> tuple:
+        """The same for a chunk of a plain model, where normalising only widens each blank by two bytes."""
+        own, numbers = self.own_sizes, self.numbers
+        ids = [numbers[i] for i in ids]
+        return ids, ",".join(map(str, ids)), array("I", [own[i] for i in ids]).tobytes()
 
     def learn(self, fresh: list[str]) -> None:
         """A chunk that begins with a blank is encoded without it (the library puts one in front); one that
         begins with a line feed loses the blank that the library puts in front."""
         sent = [x[1:] if x[0] == " " else x for x in fresh]
-        for chunk, text, ids in zip(fresh, sent, self.library.encode(sent, num_threads=1)):
+        for chunk, ids in zip(fresh, self.library.encode(sent, num_threads=1)):
             if chunk == " ":
                 ids = [self.blank]
             elif chunk[0] == "\n":
                 ids = ids[1:]
-            self.known[chunk] = self.entry(ids, text)
+            self.known[chunk] = self.chunk_entry(ids)
 
     def encode(self, texts: list[str]) -> list[Encoded]:
-        each: list[list[str] | None] = []
-        for x in texts:
-            each.append(_CHUNK.findall(" " + x) if self.splits and x and BLANK not in x else None)
-        wanted = set().union(*[x for x in each if x])
-        fresh = wanted.difference(self.known)
+        each = [_CHUNK.findall(" " + x) if self.splits and x and BLANK not in x else None for x in texts]
+        found = [list(map(self.known.get, chunks)) if chunks else None for chunks in each]
+        fresh = {c for chunks, parts in zip(each, found) if parts and None in parts for c, p in zip(chunks, parts) if p is None}
         if len(self.known) + len(fresh) > KEPT_CHUNKS:
-            self.known, fresh = {}, wanted
+            self.known = {}
         self.learn(list(fresh))
-        get, out = self.known.__getitem__, []
-        for x, chunks in zip(texts, each):
-            out.append(Encoded(x, list(map(get, chunks)) if chunks else [self.entry(self.library.encode(x), x)] if x else [], self))
+        out = []
+        for x, chunks, parts in zip(texts, each, found):
+            if parts and None in parts:
+                parts = [p or self.known[c] for c, p in zip(chunks, parts)]
+            out.append(Encoded(x, parts or ([self.entry(self.library.encode(x), x)] if x else []), self, bool(chunks)))
         return out
 
 

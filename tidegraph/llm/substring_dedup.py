@@ -149,7 +149,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     its subsequences by min-hash; windows of different documents with the same min-hash meet, each with the
     first document and with the one before it, so what is made is linear in the windows however many
     documents share a passage. For a pair of documents, stretches under windows of two hash functions or
-    more are candidates; the shingles there are compared exactly, in windows of 50 words with Jaccard 0.75 or more.
+    more are candidates; the shingles there (32 bits of their hashes) are compared in windows of 50 words with Jaccard 0.75 or more.
     Copies of a whole text are found by its hash and give one passage with all their words.
 
     Nulls: null and short texts have no passages, rows without an id are left out. Rows with the same id are
@@ -255,17 +255,17 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     candidates = materialize(meetings.groupBy(F.pmod(F.xxhash64("doc"), F.lit(buckets * 4)).alias("part")).applyInArrow(lambda table: join_intervals(table.drop_columns([x for x in table.column_names if x not in names])), "doc long, other long, a long, b long, c long, d long").distinct(), "passage-candidates")
     wanted = candidates.select("doc", "a", "b").union(candidates.select("other", "c", "d")).toDF("doc", "a", "b").distinct()
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("doc", "text", "spans")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).groupBy("doc").agg(F.min("text").alias("text"), F.first("spans").alias("spans"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in byte_groups(batch, "text", 2 << 20):
                 part = batch.slice(i, j - i)
-                rows = [(d, x["a"], x["b"], s[x["a"]:x["b"]].tobytes()) for d, s, spans in zip(part.column("doc").to_pylist(), Words(part.column("text").to_pylist()).sequences(), part.column("spans").to_pylist()) for x in spans]
+                rows = [(d, x["a"], x["b"], (s[x["a"]:x["b"]] >> np.uint64(32)).astype(np.uint32).tobytes()) for d, s, spans in zip(part.column("doc").to_pylist(), Words(part.column("text").to_pylist()).sequences(), part.column("spans").to_pylist()) for x in spans]
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "a", "b", "tokens"])
 
-    cut = materialize(map_batches(texts, slices, "doc long, a long, b long, tokens binary").dropDuplicates(["doc", "a", "b"]), "passage-slices")
+    cut = materialize(map_batches(texts, slices, "doc long, a long, b long, tokens binary"), "passage-slices")
     both = candidates.join(cut.toDF("doc", "a", "b", "x"), ["doc", "a", "b"]).join(cut.toDF("other", "c", "d", "y"), ["other", "c", "d"]).select("doc", "other", "a", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
             rows = []
             for d, o, a, x, y in zip(*(batch.column(c) for c in ("doc", "other", "a", "x", "y"))):
                 a = a.as_py()
-                rows += [(d.as_py(), o.as_py(), a + i, a + j + SHINGLE) for i, j in matching_stretches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), t)]
+                rows += [(d.as_py(), o.as_py(), a + i, a + j + SHINGLE) for i, j in matching_stretches(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), t)]
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "source_id", "begin_word", "end_word"])
 

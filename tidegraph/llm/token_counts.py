@@ -50,15 +50,14 @@ class ChunkCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         each = [self.chunks(x) for x in texts]
-        fresh = list(set().union(*each).difference(self.known)) if each else []
+        found = [list(map(self.known.get, chunks)) for chunks in each]
+        fresh = list({c for chunks, n in zip(each, found) if None in n for c, k in zip(chunks, n) if k is None})
         if len(self.known) + len(fresh) > KEPT_CHUNKS:
             self.known = {}
-            fresh = list(set().union(*each))
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
             self.known.update(zip(part, self.lengths(part)))
-        get = self.known.__getitem__
-        return [sum(map(get, chunks)) for chunks in each]
+        return [sum(n) if None not in n else sum(self.known[c] if k is None else k for c, k in zip(chunks, n)) for chunks, n in zip(each, found)]
 
 
 _COUNTERS: dict[str, ChunkCounter] = {}
