@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .support import materialize
 
 KEY_BITS, LEVEL_BITS = 60, 12
-SALTS = 16
+SALTS, SALT_ROWS = 16, 250_000
 
 
 def greedy_ends(ends: list[int], solid: list[bool], shards: int, capacity: int, fluid: bool) -> list[int] | None:
@@ -100,6 +100,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     capacity for which a greedy fill needs no more shards is found by binary search over histogram cells,
     refined only where a cut can fall. Slots run without gaps from 0 in each shard: offsets by cell and
     salt come from counts, ranks are taken within these small pieces, so no shard is ranked in one task.
+    A cell has 16 salts and one more for each 250,000 of its rows, so a hot group's pieces stay that small;
+    the table of salts has a row a cell, 4096 at most, and is broadcast for that.
 
     Nulls: a null text has size 1 and crc 0, as the empty text has, in a group of its own; null and repeated
     ids are kept, one slot a row. An empty table gives an empty result. A single group larger than a fair
@@ -111,7 +113,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     slim = materialize(slim, "shard-sizes")
     at, _ = thresholds(slim, shards)
     shard = sum((F.when(F.col("h") >= F.lit(x), 1).otherwise(0) for x in at), F.lit(0)).cast("int")
-    placed = slim.withColumns({"shard": shard, "cell": F.shiftright("h", KEY_BITS - LEVEL_BITS), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    slim = slim.withColumns({"shard": shard, "cell": F.shiftright("h", KEY_BITS - LEVEL_BITS)})
+    salts = materialize(slim.groupBy("cell").agg((F.lit(SALTS) + F.floor(F.count(F.lit(1)) / F.lit(SALT_ROWS))).alias("salts")), "shard-salts")
+    placed = slim.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
     counts = placed.groupBy("shard", "cell", "salt").agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("shard").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = materialize(counts.withColumn("before", F.sum("n").over(run) - F.col("n")).drop("n"), "shard-offsets")
