@@ -251,6 +251,18 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_repeated_passages_do_not_depend_on_the_order_of_the_rows(spark):
+    r = random.Random(21)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p, q = words(80), words(80)
+    five = " ".join(words(60) + p + words(60) + q + words(60))
+    rows = [(10, five), (5, five), (3, " ".join(words(70) + p + words(40))), (7, " ".join(words(40) + q + words(70)))]
+    want = {(10, 5), (5, 3), (7, 5)}
+    for order in (rows, rows[::-1], sorted(rows)):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert {(x.doc_id, x.source_id) for x in substring_dedup.repeated_passages(df).collect()} == want
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(6)
     rows = [(i, " ".join("w" * r.randint(1, 40)), r.choice(["a"] * 6 + ["b", "c", None]), 1, 2) for i in range(900)] + [(2000, None, "a", 1, 2), (2001, "x", "zero", 1, 2), (2002, "", "none", 1, 2)]

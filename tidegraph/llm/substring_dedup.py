@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -73,10 +72,6 @@ def compact_windows(s: np.ndarray, offsets: np.ndarray, t: int, which: int) -> t
     return centres, np.array(first), np.array(last)
 
 
-def text_key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
-
-
 def overlaps(f: np.ndarray, first: np.ndarray, last: np.ndarray, agree: int, least: int) -> list[tuple[int, int]]:
     """Maximal stretches of ``least`` places or more on which windows of ``agree`` hash functions lie."""
     events = []
@@ -150,7 +145,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     first document and with the one before it, so what is made is linear in the windows however many
     documents share a passage. For a pair of documents, stretches under windows of two hash functions or
     more are candidates; the shingles there (32 bits of their hashes) are compared in windows of 50 words with Jaccard 0.75 or more.
-    Copies of a whole text are found by its hash and give one passage with all their words.
+    Copies of a whole text are found by its hash and give one passage with all their words, repeated from the
+    smallest id among them; only that document's windows stand for the text, whatever the order of the rows.
 
     Nulls: null and short texts have no passages, rows without an id are left out. Rows with the same id are
     one document. An empty table gives an empty result; other columns are ignored.
@@ -160,8 +156,11 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     t = least_words - SHINGLE + 1
     buckets = partitions_for(total_bytes(docs, "text"), BUCKET_BYTES, 8)
 
+    # each text once, under its smallest id
+    keyed = docs.where("text is not null").withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
+    unique = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         told: list[tuple[int, int, int]] = []
 
@@ -180,18 +179,12 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
         size = 0
         for batch in batches:
             for a, b in byte_groups(batch, "text", 2 << 20):
-                ids, texts = batch.column("doc_id").slice(a, b - a).to_pylist(), [x or "" for x in batch.column("text").slice(a, b - a).to_pylist()]
+                ids, keys, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in ("doc_id", "h", "text"))
                 words = Words(texts)
                 seqs = words.sequences()
                 counts = np.diff(words.offsets).tolist()
-                use = []
-                for i, x in enumerate(texts):
-                    key = text_key(x)
-                    if counts[i] >= least_words:
-                        told.append((ids[i], key, counts[i]))
-                        if key not in seen:
-                            seen.add(key)
-                            use.append(i)
+                use = [i for i in range(len(texts)) if counts[i] >= least_words]
+                told += [(ids[i], keys[i], counts[i]) for i in use]
                 if not use:
                     continue
                 s = np.concatenate([seqs[i] for i in use])
@@ -215,24 +208,22 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     def meet(table: pa.Table) -> pa.Table:
         sig, ids = whole(table, "sigs", np.uint64), whole(table, "ids", np.int64)
         first, last = whole(table, "firsts", np.int32).astype(np.int64), whole(table, "lasts", np.int32).astype(np.int64)
+        if table.column("bucket")[0].as_py() < 0:
+            # lengths of whole texts, by text key
+            return pa.table([pa.array(np.full(len(ids), 0, np.int64)), *map(pa.array, (ids, ids, sig.view(np.int64), first, last, first, last))], names)
         order = np.lexsort((first, ids, sig))
         sig, ids, first, last = sig[order], ids[order], first[order], last[order]
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         begin = np.flatnonzero(new)[np.cumsum(new) - 1]
-        if table.column("bucket")[0].as_py() < 0:
-            # copies of whole texts, by text key
-            x, y, kind = np.flatnonzero(ids != ids[begin]), None, 0
-            y = begin[x]
-        else:
-            i = np.arange(len(sig))
-            x1 = i[ids != ids[begin]]
-            x2 = i[1:][(sig[1:] == sig[:-1]) & (ids[1:] != ids[:-1]) & (i[1:] - 1 != begin[1:]) & (ids[:-1] != ids[begin[1:]])]
-            x, y, kind = np.concatenate((x1, x2)), np.concatenate((begin[x1], x2 - 1)), 1
+        i = np.arange(len(sig))
+        x1 = i[ids != ids[begin]]
+        x2 = i[1:][(sig[1:] == sig[:-1]) & (ids[1:] != ids[:-1]) & (i[1:] - 1 != begin[1:]) & (ids[:-1] != ids[begin[1:]])]
+        x, y = np.concatenate((x1, x2)), np.concatenate((begin[x1], x2 - 1))
         f = (sig[x] & np.uint64(7)).astype(np.int64)
-        return pa.table([pa.array(np.full(len(x), kind, np.int64)), *map(pa.array, (ids[x], ids[y], f, first[x], last[x], first[y], last[y]))], names)
+        return pa.table([pa.array(np.full(len(x), 1, np.int64)), *map(pa.array, (ids[x], ids[y], f, first[x], last[x], first[y], last[y]))], names)
 
     schema = ", ".join(f"{c} long" for c in names)
-    blobs = map_batches(docs, windows, "bucket int, sigs binary, ids binary, firsts binary, lasts binary")
+    blobs = map_batches(unique, windows, "bucket int, sigs binary, ids binary, firsts binary, lasts binary")
     met = materialize(blobs.groupBy("bucket").applyInArrow(meet, schema), "passage-meetings")
 
     def join_intervals(table: pa.Table) -> pa.Table:
@@ -278,7 +269,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "source_id", "begin_word", "end_word"])
 
     found = map_batches(both, check, "doc_id long, source_id long, begin_word long, end_word long")
-    copies = met.where("kind = 0").select(F.col("doc").alias("doc_id"), F.col("other").alias("source_id"), F.lit(0).cast("long").alias("begin_word"), F.col("last").alias("end_word"))
+    lengths = met.where("kind = 0").select(F.col("f").alias("h"), F.col("doc").alias("source_id"), F.col("last").alias("end_word"))
+    several = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("top")).where("top > source_id").join(lengths, ["h", "source_id"])
+    copies = keyed.select("doc_id", "h", "g").join(several, ["h", "g"]).where("doc_id > source_id").select("doc_id", "source_id", F.lit(0).cast("long").alias("begin_word"), "end_word")
     return found.union(copies).distinct()
 
 
