@@ -263,6 +263,35 @@ def test_repeated_passages_do_not_depend_on_the_order_of_the_rows(spark):
         assert {(x.doc_id, x.source_id) for x in substring_dedup.repeated_passages(df).collect()} == want
 
 
+def test_stretches_with_repeated_lines_equal_brute_force():
+    r = random.Random(31)
+    t, need = 46, 40
+
+    def shingles(words):
+        return np.array([zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(len(words) - 4)], np.uint32)
+
+    words = lambda n: [str(r.getrandbits(40)) for _ in range(n)]
+    found = lambda x, y: substring_dedup.matching_stretches(shingles(x), shingles(y), t)
+    line, p = words(20), words(60)
+    # six places at each end may differ
+    # a passage made of a line again and again; a passage with a line that stands earlier in y too
+    assert found(words(30) + line * 6 + words(30), words(50) + line * 6 + words(10)) == [(24, 30 + 116 + 5)]
+    p[20:40] = line
+    assert found(words(30) + p + words(30), words(10) + line + words(200) + p + words(10)) == [(24, 91)]
+    assert found(words(30) + line * 6, words(30) + line + words(30) + line) == [] and found(line * 3, line) == []
+    assert found(["w"] * 20_000, ["w"] * 15_000) == [(0, 19_995)] and found(words(200), []) == []
+    long = words(300)
+    assert found(long[:150] + words(1) + long[150:], long[:60] + long[63:]) in ([(0, 296)], [(0, 57), (61, 296)])
+    # exact repeats by brute force, over few lines
+    lines = [words(r.randint(6, 30)) for _ in range(4)]
+    for _ in range(30):
+        x, y = (shingles([w for _ in range(12) for w in r.choice(lines)]) for _ in range(2))
+        have = {y[j:j + t].tobytes() for j in range(len(y) - t + 1)}
+        places = {k for a, b in substring_dedup.matching_stretches(x, y, t) for k in range(a, b + 1)}
+        for i in range(len(x) - t + 1):
+            assert x[i:i + t].tobytes() not in have or places >= set(range(i, i + t))
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(6)
     rows = [(i, " ".join("w" * r.randint(1, 40)), r.choice(["a"] * 6 + ["b", "c", None]), 1, 2) for i in range(900)] + [(2000, None, "a", 1, 2), (2001, "x", "zero", 1, 2), (2002, "", "none", 1, 2)]

@@ -21,6 +21,8 @@ HASHES, AGREE = 5, 2
 PERCENT = 75
 GRID = 64
 BUCKET_BYTES = 24 << 20
+#: Pairs of equal tokens of two slices that are held at once.
+MATCHED = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -99,42 +101,88 @@ def overlaps(f: np.ndarray, first: np.ndarray, last: np.ndarray, agree: int, lea
     return out
 
 
+def first_copies(s: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the first place with the same ``width`` tokens from there on (the end counts as
+    different from all), and which tokens lie in the first copy of some such run."""
+    n = len(s)
+    h = mix(np.concatenate((s.astype(np.uint64), np.arange(width, dtype=np.uint64) + np.uint64(1 << 32))))
+    step = 1
+    while 2 * step <= width:
+        h = mix(h[:-step] * _STEP + h[step:])
+        step *= 2
+    if step < width:
+        h = mix(h[:step - width] * _STEP + h[width - step:])
+    _, at, back = np.unique(h[:n], return_index=True, return_inverse=True)
+    edge = np.zeros(n + width + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + width, -1)
+    return at[back], np.cumsum(edge)[:n] > 0
+
+
 def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Stretches of ``x`` in which windows of ``least`` tokens stand in ``y`` along a diagonal.
 
     A window and as many tokens of ``y`` that share c of them have Jaccard c / (2 * least - c); the
-    windows with PERCENT or more are joined where they meet or overlap.
+    windows with PERCENT or more are joined where they meet or overlap. All places of a token in ``y`` count:
+    matches are taken by bands of diagonals, wide enough for the insertions that a window can hold, and those
+    of a window and band must reach the share in ``x`` and in ``y``. Of equal runs of tokens only the first
+    is compared, so that repeated lines don't multiply.
     """
+    need = -(-2 * PERCENT * least // (100 + PERCENT))
+    if len(x) < least or len(y) < need:
+        return []
+    reach = GRID // 4 * max(1, (least - need) // (SHINGLE - 1))
     order = np.argsort(y, kind="stable")
-    at = np.searchsorted(y[order], x)
-    found = np.flatnonzero((at < len(y)) & (y[order][np.minimum(at, len(y) - 1)] == x)) if len(y) else np.zeros(0, np.int64)
-    if not len(found):
+    ys = y[order]
+    lo, hi = np.searchsorted(ys, x), np.searchsorted(ys, x, side="right")
+    if np.count_nonzero(hi > lo) < need:
         return []
-    place = order[at[found]]
-    shift = place - found
-    if len(found) > 2:
-        # common tokens may stand elsewhere in y first
-        ahead, back = np.abs(np.diff(shift, append=shift[-1:])) > GRID // 4, np.abs(np.diff(shift, prepend=shift[:1])) > GRID // 4
-        back[0], ahead[-1] = ahead[0], back[-1]
-        keep = ~(ahead & back)
-        found, place, shift = found[keep], place[keep], shift[keep]
-        if not len(found):
-            return []
-    breaks = np.flatnonzero((np.abs(np.diff(shift)) > GRID // 4) | (np.diff(found) > least)) + 1
-    out = []
-    for own in np.split(found, breaks):
-        a, b = int(own[0]), int(own[-1])
-        if b - a + 1 < least:
-            continue
-        hit = np.zeros(b - a + 2, np.int64)
-        hit[own - a + 1] = 1
-        sums = np.cumsum(hit)
-        good = np.flatnonzero((100 + PERCENT) * (sums[least:] - sums[:-least]) >= 2 * PERCENT * least)
-        if len(good):
-            cuts = np.flatnonzero(np.diff(good) > least) + 1
-            for part in np.split(good, cuts):
-                out.append((a + int(part[0]), a + int(part[-1]) + least - 1))
-    return out
+    same = None
+    if (hi - lo).sum() > 4 * (len(x) + len(y)):
+        same, use = first_copies(x, least)
+        order = order[first_copies(y, least + 2 * reach)[1][order]]
+        ys = y[order]
+        lo, hi = np.searchsorted(ys, x), np.searchsorted(ys, x, side="right")
+        lo[~use] = hi[~use]
+    good = np.zeros(len(x) - least + 1, bool)
+    total = np.concatenate(([0], np.cumsum(hi - lo)))
+    a = 0
+    while a < len(good):
+        # windows that begin in [a, b), with at most about MATCHED pairs
+        b = max(a + 1, min(len(good), int(np.searchsorted(total, total[a] + MATCHED, side="right")) - least))
+        part = slice(a, b + least - 1)
+        n = (hi - lo)[part]
+        i = np.repeat(np.arange(a, b + least - 1), n)
+        j = order[np.repeat(lo[part], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        band = (i - j + len(y)) // reach
+        i, j, band = np.tile(i, 2), np.tile(j, 2), np.concatenate((band, band + 1))
+        band_order = np.argsort(band, kind="stable")
+        band = band[band_order]
+        cuts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
+        for g in np.flatnonzero(np.diff(cuts) >= need):
+            own = band_order[cuts[g]:cuts[g + 1]]
+            p, q = i[own], j[own]
+            at = np.unique(p)
+            if len(at) < need or (at[need - 1:] - at[:len(at) - need + 1]).min() >= least:
+                continue
+            first, size = int(at[0]) - least + 1, int(at[-1] - at[0]) + 2 * least
+            in_x = np.bincount(at - first - least + 1, minlength=size) - np.bincount(at - first + 1, minlength=size)
+            # a token of y counts once a window: from after its last use, or where the window first holds it
+            by_y = np.lexsort((p, q))
+            p, q = p[by_y], q[by_y]
+            begin = p - first - least + 1
+            again = np.flatnonzero(q[1:] == q[:-1]) + 1
+            begin[again] = np.maximum(begin[again], p[again - 1] - first + 1)
+            in_y = np.bincount(begin, minlength=size) - np.bincount(p - first + 1, minlength=size)
+            hit = np.flatnonzero((np.cumsum(in_x) >= need) & (np.cumsum(in_y) >= need)) + first
+            good[hit[(hit >= a) & (hit < b)]] = True
+        a = b
+    if same is not None:
+        good = good[same[:len(good)]]
+    good = np.flatnonzero(good)
+    if not len(good):
+        return []
+    return [(int(k[0]), int(k[-1]) + least - 1) for k in np.split(good, np.flatnonzero(np.diff(good) > least) + 1)]
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
