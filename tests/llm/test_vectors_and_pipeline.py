@@ -34,6 +34,24 @@ def test_near_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_links_in_a_dense_group_are_found(spark):
+    r = np.random.default_rng(8)
+    d, n, pairs = 64, 3000, 150
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    side = r.normal(size=(n, d))
+    side[:, 0] = 0
+    x = np.zeros((n, d))
+    x[:, 0] = np.sqrt(0.9)
+    x += np.sqrt(0.1) * unit(side)
+    y = unit(x[:pairs] + 0.29 * unit(r.normal(size=(pairs, d))))
+    all_ = np.concatenate((x, y))
+    near = unit(all_) @ unit(all_).T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {z.vec_id: z for z in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(all_)], "vec_id long, embedding array<double>")).collect()}
+    found, want = np.array([got[i].n_links for i in range(len(all_))]), near.sum(1)
+    assert want.sum() >= pairs and (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
 def test_stages_keep_the_columns_and_clean_documents(spark):
     words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     rows = [(i, words(i, 80), "en", f"s{i % 2}", 1) for i in range(20)] + [(50, words(0, 80), "en", "s0", 1), (51, words(1, 79) + " end", "en", "s1", 1), (52, words(90, 30) + " " + words(2, 80) + " " + words(91, 30), "en", "s0", 1), (53, None, None, None, None)]
