@@ -150,9 +150,9 @@ def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[i
     while a < len(good):
         # windows that begin in [a, b), with at most about MATCHED pairs
         b = max(a + 1, min(len(good), int(np.searchsorted(total, total[a] + MATCHED, side="right")) - least))
-        part = slice(a, b + least - 1)
+        part = slice(max(0, a - least), min(len(x), b + 2 * least - 1))
         n = (hi - lo)[part]
-        i = np.repeat(np.arange(a, b + least - 1), n)
+        i = np.repeat(np.arange(part.start, part.stop), n)
         j = order[np.repeat(lo[part], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
         band = (i - j + len(y)) // reach
         i, j, band = np.tile(i, 2), np.tile(j, 2), np.concatenate((band, band + 1))
@@ -175,7 +175,11 @@ def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[i
             begin[again] = np.maximum(begin[again], p[again - 1] - first + 1)
             in_y = np.bincount(begin, minlength=size) - np.bincount(p - first + 1, minlength=size)
             hit = np.flatnonzero((np.cumsum(in_x) >= need) & (np.cumsum(in_y) >= need)) + first
-            good[hit[(hit >= a) & (hit < b)]] = True
+            # a window lies between the first and the last match of a run
+            ends = at[np.concatenate((np.flatnonzero(np.diff(at) > least), [len(at) - 1]))]
+            before = np.searchsorted(at, hit, side="right") - 1
+            last = ends[np.searchsorted(ends, at[np.maximum(before, 0)])]
+            good[hit[(before >= 0) & (hit + least - 1 <= last) & (hit >= a) & (hit < b)]] = True
         a = b
     if same is not None:
         good = good[same[:len(good)]]
