@@ -206,6 +206,29 @@ def test_jaccard_join_equals_brute_force(spark):
     assert {r.doc_id for r in jaccard_join.one_of_each(df).collect() if r.doc_id is not None} == {d for d, (_, c) in want.items() if c == d}
 
 
+def test_jaccard_join_of_a_crowd_near_the_threshold(spark):
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for i in range(700):
+        own = list(base if i % 3 else [*base[:35], *[f"x{j}" for j in range(35)]])
+        for _ in range(r.randrange(0, 4)):
+            own[r.randrange(len(own))] = f"r{r.randrange(60)}"
+        texts.append(" ".join(own[:r.randrange(60, 71)]))
+    rows = [(i, x) for i, x in enumerate(texts)]
+    r.shuffle(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows)
+    assert len({c for _, c in got.values()}) > 3
+
+
+def test_common_counts_equal_set_intersections():
+    rng = np.random.default_rng(3)
+    xs, ys = ([np.unique(rng.integers(0, 300, rng.integers(0, 120)).astype(np.uint64)) for _ in range(n)] for n in (90, 40))
+    got = jaccard_join.common_counts(xs, ys)
+    assert [[len(set(a.tolist()) & set(b.tolist())) for b in ys] for a in xs] == got.astype(int).tolist()
+
+
 def test_jaccard_join_without_rows(spark):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 

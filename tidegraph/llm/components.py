@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import materialize
+from .support import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(near, "u")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", "m")).distinct()
-        e = materialize(small, "cc-step")
+        older, e = e, materialize(small, "cc-step")
+        discard(older)
         now = _mark(e)
         if now == seen:
             break

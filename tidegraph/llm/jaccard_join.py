@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .support import byte_groups, map_batches, materialize, partitions_for, total_bytes
+from .support import byte_groups, discard, map_batches, materialize, partitions_for, total_bytes
 from .words import Words, mix
 
 #: Similarity as a whole percentage.
@@ -24,7 +24,8 @@ SHORT_LIST = 16
 #: Elements in more sets than this go to the end of the order; at most HOT_KEPT are remembered (4 bytes each).
 HOT, HOT_KEPT = 48, 262_144
 BUCKET_BYTES = 24 << 20
-FLUSH_BYTES = 12 << 20
+#: Classes in a block, and pairs around one key that are tested in one place.
+CROWD = 512
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -174,6 +175,7 @@ def frequent_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[i
     hot = found.where("top >= 0").orderBy(F.desc("n"), "top").limit(HOT_KEPT).select("top").toArrow()
     told = {r["top"]: r["n"] for r in found.where("top < 0").groupBy("top").agg(F.sum("n").alias("n")).collect()}
     length = told.get(-1, 0) / max(1, told.get(-2, 0))
+    discard(found)
     return np.sort(hot.column("top").to_numpy().astype(np.uint32)), {n: told.get(-3 - n, 0) for n in range(1, MANY)}, length
 
 
@@ -261,30 +263,10 @@ def _list_pairs(sig: np.ndarray, key: np.ndarray, n: np.ndarray, light: int) ->
     return tables
 
 
-def _cross_pairs(sig: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, light: int) -> pa.Table:
-    """Pairs in long lists that lie in different components so far, with the size filter."""
-    order = np.argsort(sig, kind="stable")
-    sig, key, n, label = sig[order], key[order], n[order], label[order]
-    begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    left, right = [], []
-    for a, b in zip(begins, np.append(begins[1:], len(sig))):
-        both_light = sig[a] & np.uint64(1)
-        for i in range(a, b):
-            rest = slice(i + 1, b)
-            ok = (label[rest] != label[i]) & _near(n[rest], n[i]) & (both_light | (np.maximum(n[rest], n[i]) > light)).astype(bool)
-            at = np.flatnonzero(ok) + i + 1
-            left.append(np.full(len(at), i))
-            right.append(at)
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    need = np.where((sig[x] & np.uint64(1)).astype(bool), 1, needed(n[x].astype(np.int64), n[y].astype(np.int64)))
-    return _out(PAIRS, *_counted(key[x], key[y], need))
-
-
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of class keys whose sets link, from the texts of one document of each class."""
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("key").distinct()
-    reps = classes.join(wanted, "key").groupBy("key").agg(F.min("rep").alias("rep"))
-    texts = docs.join(reps.select(F.col("rep").alias("doc_id"), "key"), "doc_id").select("key", "text", "doc_id")
+def sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The elements (sorted, 64 bits each) of the classes with these keys, from the text of one document of each."""
+    reps = classes.join(keys, "key").select("key", F.col("rep").alias("doc_id"))
+    texts = docs.join(reps, "doc_id").select("key", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,19 +276,138 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 rows = [(k, u.tobytes()) for k, u in zip(keys, sets) if set_key(u) == k]
                 yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([u for _, u in rows], pa.binary())], ["key", "elements"])
 
-    sets = materialize(map_batches(texts, build, "key long, elements binary").dropDuplicates(["key"]), "jaccard-sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return materialize(map_batches(texts, build, "key long, elements binary").dropDuplicates(["key"]), "jaccard-sets")
+
+
+def links_of(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(map_batches(both, test, "a long, b long"), "jaccard-links")
+def verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """The pairs (a < b) of class keys whose sets link.
+
+    Pairs go to the bucket of the smallest key near them, so that a group of near copies meets in one
+    bucket and each of its sets is sent there once. Where many pairs lie around one key, ``b`` decides too.
+    """
+    least = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    placed = pairs.join(least, "a")
+    crowded = placed.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(F.lit(0))
+    placed = materialize(placed.join(crowded, "m", "left").select("a", "b", F.pmod(F.xxhash64("m", part), F.lit(buckets)).cast("int").alias("bucket")), "jaccard-placed")
+    needs = placed.select("bucket", F.col("a").alias("key")).union(placed.select("bucket", "b")).distinct()
+    none = F.lit(None)
+    rows = needs.join(sets, "key").select("bucket", F.col("key").alias("a"), none.cast("long").alias("b"), "elements").union(placed.select("bucket", "a", "b", none.cast("binary")))
+
+    def test(table: pa.Table) -> pa.Table:
+        a, b, elements = (table.column(c) for c in ("a", "b", "elements"))
+        held = {k: np.frombuffer(e.as_buffer(), np.uint64) for k, e in zip(a.to_pylist(), elements) if e.is_valid}
+        pairs = [(x, y) for x, y in zip(a.to_pylist(), b.to_pylist()) if y is not None]
+        keep = [(x, y) for x, y in pairs if links_of(held[x], held[y])]
+        return pa.table([pa.array([p[i] for p in keep], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    out = materialize(rows.groupBy("bucket").applyInArrow(test, "a long, b long"), "jaccard-links")
+    discard(placed)
+    return out
+
+
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Elements that each set of ``xs`` shares with each of ``ys``: rare elements pair by pair, the others as matrices."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    if not len(xs) or not len(ys):
+        return out
+    sides = []
+    for sets in (xs, ys):
+        e = np.concatenate(sets)
+        own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(e, kind="stable")
+        e, own = e[order], own[order]
+        begin = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1]))) if len(e) else np.zeros(0, np.int64)
+        sides.append((e[begin], begin, np.diff(np.append(begin, len(e))), own))
+    _, p, q = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+    (bx, nx, ox), (by, ny, oy) = (tuple(x[at] for x in side[1:3]) + side[3:] for side, at in zip(sides, (p, q)))
+    each = nx * ny
+    rare = np.flatnonzero(each <= 64)
+    n = each[rare]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i, wide = np.repeat(rare, n), np.repeat(ny[rare], n)
+    np.add.at(out, (ox[bx[i] + step // wide], oy[by[i] + step % wide]), 1)
+    often = np.flatnonzero(each > 64)
+    for k in range(0, len(often), 2048):
+        own = often[k:k + 2048]
+        parts = []
+        for begin, n, docs, many in ((bx, nx, ox, len(xs)), (by, ny, oy, len(ys))):
+            m = np.zeros((many, len(own)), np.float32)
+            n = n[own]
+            at = np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            m[docs[at], np.repeat(np.arange(len(own)), n)] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_links(keys: np.ndarray, labels: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join different labels, between sides 0 and 1 or, where there is no side 1, within side 0; a tree of them is enough."""
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if side.any() else x
+    common = common_counts([sets[i] for i in x], [sets[i] for i in y])
+    n = np.array([len(s) for s in sets], np.int64)
+    near = (labels[x][:, None] != labels[y][None, :]) & (100 * common >= PERCENT * (n[x][:, None] + n[y][None, :] - common))
+    roots: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while roots.get(a, a) != a:
+            roots[a] = roots.get(roots[a], roots[a])
+            a = roots[a]
+        return a
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        p, q = top(int(labels[x[i]])), top(int(labels[y[j]]))
+        if p != q:
+            roots[max(p, q)] = min(p, q)
+            out.append((int(keys[x[i]]), int(keys[y[j]])))
+    return out
+
+
+def cross_links(open_lists: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links between components that meet in long lists, given these lists' rows (sig, key, label).
+
+    A class has its home in the smallest of its lists. The classes of a home fall in blocks of about CROWD,
+    those of a large component apart from the others. Blocks that meet in a list are compared as a whole,
+    so neither pairs nor lists leave a task, and blocks of one large component are never compared.
+    """
+    homes = open_lists.groupBy("key").agg(F.min("sig").alias("home"), F.min("label").alias("label"))
+    homes = materialize(homes, "jaccard-homes")
+    large = homes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("parts")).where("parts > 1")
+    marked = homes.join(large, "label", "left")
+    mixed = marked.where("parts is null").groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("homes"))
+    marked = marked.join(mixed, "home", "left")
+    inside = F.when(F.col("parts").isNotNull(), F.xxhash64("home", "label", F.pmod(F.xxhash64("key"), F.col("parts")))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("label"), F.col("homes"))))
+    blocks = materialize(marked.select("key", "label", inside.alias("block"), F.when(F.col("parts").isNotNull(), F.col("label")).alias("one")), "jaccard-blocks")
+    there = materialize(open_lists.select("sig", "key").join(blocks, "key").select("sig", "block", "one").distinct(), "jaccard-there")
+    other = there.toDF("sig", "block2", "one2")
+    meet = there.join(other, "sig").where("block <= block2 and not coalesce(one = one2, false)").select(F.col("block").alias("x"), F.col("block2").alias("y")).distinct()
+    meet = materialize(meet, "jaccard-block-pairs")
+    needs = meet.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(meet.where("x <> y").select("x", "y", "y", F.lit(1)))
+    needs = materialize(needs.join(blocks.select("key", "label", "block"), "block").select("x", "y", "side", "key", "label"), "jaccard-block-needs")
+    parts = partitions_for(total_bytes(needs.join(sets, "key"), "elements"), BUCKET_BYTES, 8)
+    rows = needs.join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        x, y, side, key, label = (table.column(c).to_numpy() for c in ("x", "y", "side", "key", "label"))
+        elements = table.column("elements").combine_chunks()
+        order = np.lexsort((y, x))
+        cuts = np.flatnonzero(np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]), [True])))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            out += block_links(key[own], label[own], side[own], [np.frombuffer(elements[int(i)].as_buffer(), np.uint64) for i in own])
+        return pa.table([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    found = materialize(rows.groupBy("bucket").applyInArrow(compare, "a long, b long"), "jaccard-cross")
+    discard(homes, blocks, there, meet, needs)
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,8 +417,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prefix elements; larger ones scan the inverted lists of theirs, in an order that puts frequent elements
     last; the boundary is the one of least cost. Their sizes say how many prefix elements two sets that link
     share at least; pairs with fewer need no test. Lists of up to 16 sets give all their pairs; longer ones
-    first give a star and a chain, and once these have been tested, every pair that still lies in different
-    components. No list is cut, no pair sampled: components are exact.
+    first give a star and a chain, and once these have been tested, the sets of a list that still lie in
+    different components are compared in blocks. No list is cut, no pair sampled: components are exact.
 
     Nulls: a null or blank text has an empty set and links with nothing, as does a row without an id; its
     component is its own id. Fewer than five words form one shingle. Repeated rows fall in one class. An
@@ -352,8 +453,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for ids, sets in _sets(batches):
             for doc, u in zip(ids, sets):
                 n, key = len(u), set_key(u)
-                if doc is not None:
-                    told.append((doc, key, n))
+                if doc is None:
+                    continue
+                told.append((doc, key, n))
                 if n < 3 or key in seen:
                     continue
                 seen.add(key)
@@ -387,27 +489,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     told = met.where(F.col("kind") == DOCS).select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n")
     classes = materialize(told.groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     counted = met.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    stars = met.where(F.col("kind") == STARS).select("a", "b").distinct()
-    long = met.where(F.col("kind") == LONG).select(F.col("a").alias("sig"), F.col("b").alias("key"), "n")
-    first = materialize(counted.where("n >= need").select("a", "b").union(stars).distinct(), "jaccard-candidates")
-    links = verify(first, classes, docs)
+    stars = met.where(F.col("kind") == STARS).select("a", "b")
+    long = met.where(F.col("kind") == LONG).select(F.col("a").alias("sig"), F.col("b").alias("key"))
+    pairs = materialize(counted.where("n >= need").select("a", "b").union(stars).distinct(), "jaccard-candidates")
+    # any member of a long list may be compared in a block
+    wanted = pairs.select("a").union(pairs.select("b")).union(long.select("key")).toDF("key").distinct()
+    sets = sets_of(wanted, classes, docs)
+    links = verify(pairs, sets, buckets)
     labels = materialize(components(links), "jaccard-labels")
-    if not long.isEmpty():
-        marked = long.join(labels.toDF("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        open_lists = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-        rest = marked.join(open_lists, "sig").select("sig", "key", "n", "label")
-
-        def cross(table: pa.Table) -> pa.Table:
-            c = lambda x: table.column(x).to_numpy()
-            return _cross_pairs(c("sig").view(np.uint64), c("key"), c("n"), c("label"), light)
-
-        more = rest.groupBy("sig").applyInArrow(cross, _OUT).select("a", "b", "n", "need")
-        told_pairs = met.where(F.col("kind") == PAIRS).select("a", "b", "n", "need")
-        # a pair's matches count over short and long lists together
-        second = more.select("a", "b").distinct().join(told_pairs.union(more), ["a", "b"]).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
-        second = materialize(second.join(first, ["a", "b"], "left_anti"), "jaccard-second")
-        if not second.isEmpty():
-            labels = materialize(components(links.union(verify(second, classes, docs))), "jaccard-labels")
+    marked = long.join(labels.toDF("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    several = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
+    open_lists = materialize(marked.join(several, "sig").select("sig", "key", "label"), "jaccard-open")
+    if not open_lists.isEmpty():
+        more = cross_links(open_lists, sets)
+        labels = materialize(components(links.union(more)), "jaccard-labels")
+        discard(more)
+    discard(pairs, sets, links, open_lists)
     owner = classes.join(labels.toDF("key", "label"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     smallest = owner.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = materialize(owner.join(smallest, "label").select("key", "component_id"), "jaccard-components")
