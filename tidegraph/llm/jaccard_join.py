@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,6 +27,8 @@ HOT, HOT_KEPT = 48, 262_144
 BUCKET_BYTES = 24 << 20
 #: Classes in a block, and pairs around one key that are tested in one place.
 CROWD = 512
+#: Bytes that a counted pair costs in one list, against 8 for each element of a set.
+PAIR_BYTES = 24
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -48,6 +51,13 @@ def needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(overlap - after, 1)
 
 
+def needed_sql(x: str, y: str) -> Column:
+    """``needed`` for two columns of sizes."""
+    part = lambda num, den: F.floor((num + (den - 1)) / den)
+    after = [part(PERCENT * F.col(n), 100) - F.when(F.col(n) >= MANY, MATCHES).otherwise(1) for n in (x, y)]
+    return F.greatest(part(PERCENT * (F.col(x) + F.col(y)), 100 + PERCENT) - F.greatest(*after), F.lit(1)).cast("long")
+
+
 def set_key(u: np.ndarray) -> int:
     """A set's class key: 64 bits of a hash over its sorted elements."""
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -370,33 +380,42 @@ def block_links(keys: np.ndarray, labels: np.ndarray, side: np.ndarray, sets: li
     return out
 
 
-def cross_links(open_lists: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links between components that meet in long lists, given these lists' rows (sig, key, label).
+def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, sets: DataFrame, light: int, buckets: int) -> DataFrame:
+    """Links between components that meet in long lists, given these lists' rows (sig, key, n, label).
 
-    A class has its home in the smallest of its lists. The classes of a home fall in blocks of about CROWD,
-    those of a large component apart from the others. Blocks that meet in a list are compared as a whole,
-    so neither pairs nor lists leave a task, and blocks of one large component are never compared.
+    A class has its home in the smallest of its lists. The classes of a home and a band of sizes fall in
+    blocks of about CROWD, those of a large component apart from the others; blocks of one large component
+    or of bands that are no neighbours are never compared. Two blocks that meet in lists are compared as a
+    whole where their sets are fewer bytes than the pairs in their lists, so that neither pairs nor lists of
+    a crowd leave a task; otherwise their pairs' matches are counted, with those of short lists
+    (``met_pairs``), and the pairs with enough that are not ``done`` are verified.
     """
-    homes = open_lists.groupBy("key").agg(F.min("sig").alias("home"), F.min("label").alias("label"))
-    homes = materialize(homes, "jaccard-homes")
+    homes = materialize(open_lists.groupBy("key").agg(F.min("sig").alias("home"), F.min("label").alias("label"), F.min("n").alias("n")).withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")), "jaccard-homes")
     large = homes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("parts")).where("parts > 1")
     marked = homes.join(large, "label", "left")
-    mixed = marked.where("parts is null").groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("homes"))
-    marked = marked.join(mixed, "home", "left")
-    inside = F.when(F.col("parts").isNotNull(), F.xxhash64("home", "label", F.pmod(F.xxhash64("key"), F.col("parts")))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("label"), F.col("homes"))))
-    blocks = materialize(marked.select("key", "label", inside.alias("block"), F.when(F.col("parts").isNotNull(), F.col("label")).alias("one")), "jaccard-blocks")
-    there = materialize(open_lists.select("sig", "key").join(blocks, "key").select("sig", "block", "one").distinct(), "jaccard-there")
-    other = there.toDF("sig", "block2", "one2")
-    meet = there.join(other, "sig").where("block <= block2 and not coalesce(one = one2, false)").select(F.col("block").alias("x"), F.col("block2").alias("y")).distinct()
-    meet = materialize(meet, "jaccard-block-pairs")
-    needs = meet.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(meet.where("x <> y").select("x", "y", "y", F.lit(1)))
-    needs = materialize(needs.join(blocks.select("key", "label", "block"), "block").select("x", "y", "side", "key", "label"), "jaccard-block-needs")
-    parts = partitions_for(total_bytes(needs.join(sets, "key"), "elements"), BUCKET_BYTES, 8)
-    rows = needs.join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
+    mixed = marked.where("parts is null").groupBy("home", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("homes"))
+    marked = marked.join(mixed, ["home", "band"], "left")
+    one = F.when(F.col("parts").isNotNull(), F.col("label")).alias("one")
+    inside = F.when(F.col("parts").isNotNull(), F.xxhash64("home", "band", "label", F.pmod(F.xxhash64("key"), F.col("parts")))).otherwise(F.xxhash64("home", "band", F.pmod(F.xxhash64("label"), F.col("homes"))))
+    blocks = materialize(marked.select("key", "label", "n", "band", inside.alias("block"), one), "jaccard-blocks")
+    rows = materialize(open_lists.select("sig", "key").join(blocks, "key"), "jaccard-rows")
+    there = rows.groupBy("sig", "block").agg(F.first("band").alias("band"), F.first("one").alias("one"), F.count(F.lit(1)).alias("c"))
+    other = there.toDF("sig", "block2", "band2", "one2", "c2")
+    lists = materialize(there.join(other, "sig").where("block <= block2 and abs(band - band2) <= 1 and not coalesce(one = one2, false) and (block < block2 or c > 1)").select("sig", F.col("block").alias("x"), F.col("block2").alias("y"), (F.col("c") * F.col("c2")).alias("w")), "jaccard-there")
+    size = blocks.groupBy("block").agg(F.sum(8 * F.col("n")).alias("bytes"))
+    meet = lists.groupBy("x", "y").agg(F.sum(F.when(F.col("x") == F.col("y"), F.col("w") / 2).otherwise(F.col("w"))).alias("w")).join(size.toDF("x", "bx"), "x").join(size.toDF("y", "by"), "y")
+    meet = materialize(meet.select("x", "y", (F.lit(PAIR_BYTES) * F.col("w") > F.col("bx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("by"))).alias("whole")), "jaccard-block-pairs")
+
+    # blocks compared as a whole
+    whole = meet.where("whole").select("x", "y")
+    needs = whole.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(whole.where("x <> y").select("x", "y", "y", F.lit(1)))
+    needs = materialize(needs.join(blocks.select("key", "label", "n", "block"), "block").select("x", "y", "side", "key", "label", "n"), "jaccard-block-needs")
+    parts = partitions_for(8 * (needs.agg(F.sum("n")).first()[0] or 0), BUCKET_BYTES, 8)
+    dealt = needs.drop("n").join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
         x, y, side, key, label = (table.column(c).to_numpy() for c in ("x", "y", "side", "key", "label"))
-        elements = table.column("elements").combine_chunks()
+        elements = table.column("elements")
         order = np.lexsort((y, x))
         cuts = np.flatnonzero(np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]), [True])))
         out = []
@@ -405,8 +424,21 @@ def cross_links(open_lists: DataFrame, sets: DataFrame) -> DataFrame | None:
             out += block_links(key[own], label[own], side[own], [np.frombuffer(elements[int(i)].as_buffer(), np.uint64) for i in own])
         return pa.table([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    found = materialize(rows.groupBy("bucket").applyInArrow(compare, "a long, b long"), "jaccard-cross")
-    discard(homes, blocks, there, meet, needs)
+    found = materialize(dealt.groupBy("bucket").applyInArrow(compare, "a long, b long"), "jaccard-cross")
+
+    # matches of pairs of the other blocks
+    few = lists.select("sig", "x", "y").join(meet.where("not whole").select("x", "y"), ["x", "y"])
+    left = rows.select("sig", F.col("block").alias("x"), F.col("key").alias("kx"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    right = rows.select("sig", F.col("block").alias("y"), F.col("key").alias("ky"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    low, high = F.least("nx", "ny"), F.greatest("nx", "ny")
+    apart = (F.col("lx") != F.col("ly")) & ((F.col("x") != F.col("y")) | (F.col("kx") < F.col("ky"))) & (100 * low >= PERCENT * high) & ((F.col("sig").bitwiseAND(F.lit(1)) == 1) | (high > light))
+    counted = few.join(left, ["sig", "x"]).join(right, ["sig", "y"]).where(apart).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), F.lit(1).cast("long").alias("n"), F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, 1).otherwise(needed_sql("nx", "ny")).alias("need"))
+    counted = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    both = counted.join(met_pairs.groupBy("a", "b").agg(F.sum("n").alias("more")), ["a", "b"], "left").where("n + coalesce(more, 0) >= need")
+    second = materialize(both.select("a", "b").join(done, ["a", "b"], "left_anti"), "jaccard-second")
+    if not second.isEmpty():
+        found = found.union(verify(second, sets, buckets))
+    discard(homes, blocks, rows, lists, meet, needs)
     return found
 
 
@@ -490,7 +522,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = materialize(told.groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     counted = met.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     stars = met.where(F.col("kind") == STARS).select("a", "b")
-    long = met.where(F.col("kind") == LONG).select(F.col("a").alias("sig"), F.col("b").alias("key"))
+    long = met.where(F.col("kind") == LONG).select(F.col("a").alias("sig"), F.col("b").alias("key"), "n")
     pairs = materialize(counted.where("n >= need").select("a", "b").union(stars).distinct(), "jaccard-candidates")
     # any member of a long list may be compared in a block
     wanted = pairs.select("a").union(pairs.select("b")).union(long.select("key")).toDF("key").distinct()
@@ -499,11 +531,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     labels = materialize(components(links), "jaccard-labels")
     marked = long.join(labels.toDF("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    open_lists = materialize(marked.join(several, "sig").select("sig", "key", "label"), "jaccard-open")
+    open_lists = materialize(marked.join(several, "sig").select("sig", "key", "n", "label"), "jaccard-open")
     if not open_lists.isEmpty():
-        more = cross_links(open_lists, sets)
+        more = cross_links(open_lists, met.where(F.col("kind") == PAIRS).select("a", "b", "n"), pairs, sets, light, buckets)
         labels = materialize(components(links.union(more)), "jaccard-labels")
-        discard(more)
     discard(pairs, sets, links, open_lists)
     owner = classes.join(labels.toDF("key", "label"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     smallest = owner.groupBy("label").agg(F.min("rep").alias("component_id"))
