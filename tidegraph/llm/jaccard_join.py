@@ -273,20 +273,33 @@ def _list_pairs(sig: np.ndarray, key: np.ndarray, n: np.ndarray, light: int) ->
     return tables
 
 
-def sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The elements (sorted, 64 bits each) of the classes with these keys, from the text of one document of each."""
-    reps = classes.join(keys, "key").select("key", F.col("rep").alias("doc_id"))
-    texts = docs.join(reps, "doc_id").select("key", "text")
+def sent(needs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (key, the other columns of ``needs``, elements): the sorted 64-bit elements of each class where it is needed.
+
+    Sets are made from the text of one document of a class, after its only shuffle; repeated rows of that
+    document are sent once a task at most.
+    """
+    places = needs.groupBy("key").agg(F.collect_list(F.struct(*[c for c in needs.columns if c != "key"])).alias("places"))
+    reps = classes.join(places, "key").select("key", F.col("rep").alias("doc_id"), "places")
+    texts = docs.join(reps, "doc_id").select("key", "places", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b in byte_groups(batch, "text", 2 << 20):
-                keys = batch.column("key").slice(a, b - a).to_pylist()
-                sets = [np.unique(x) for x in Words(batch.column("text").slice(a, b - a).to_pylist()).sequences()]
-                rows = [(k, u.tobytes()) for k, u in zip(keys, sets) if set_key(u) == k]
-                yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([u for _, u in rows], pa.binary())], ["key", "elements"])
+                part = batch.slice(a, b - a)
+                keep, sets = [], []
+                for k, x in zip(part.column("key").to_pylist(), Words(part.column("text").to_pylist()).sequences()):
+                    u = np.unique(x) if k not in seen else None
+                    keep.append(u is not None and set_key(u) == k)
+                    if keep[-1]:
+                        seen.add(k)
+                        sets.append(u.tobytes())
+                part = part.select(["key", "places"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.record_batch([*part.columns, pa.array(sets, pa.binary())], ["key", "places", "elements"])
 
-    return materialize(map_batches(texts, build, "key long, elements binary").dropDuplicates(["key"]), "jaccard-sets")
+    made = map_batches(texts, build, f"key long, places {places.schema['places'].dataType.simpleString()}, elements binary")
+    return made.select("key", F.explode("places").alias("place"), "elements").select("key", "place.*", "elements")
 
 
 def links_of(x: np.ndarray, y: np.ndarray) -> bool:
@@ -294,7 +307,7 @@ def links_of(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     """The pairs (a < b) of class keys whose sets link.
 
     Pairs go to the bucket of the smallest key near them, so that a group of near copies meets in one
@@ -307,7 +320,7 @@ def verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     placed = materialize(placed.join(crowded, "m", "left").select("a", "b", F.pmod(F.xxhash64("m", part), F.lit(buckets)).cast("int").alias("bucket")), "jaccard-placed")
     needs = placed.select("bucket", F.col("a").alias("key")).union(placed.select("bucket", "b")).distinct()
     none = F.lit(None)
-    rows = needs.join(sets, "key").select("bucket", F.col("key").alias("a"), none.cast("long").alias("b"), "elements").union(placed.select("bucket", "a", "b", none.cast("binary")))
+    rows = sent(needs, classes, docs).select("bucket", F.col("key").alias("a"), none.cast("long").alias("b"), "elements").union(placed.select("bucket", "a", "b", none.cast("binary")))
 
     def test(table: pa.Table) -> pa.Table:
         a, b, elements = (table.column(c) for c in ("a", "b", "elements"))
@@ -380,7 +393,7 @@ def block_links(keys: np.ndarray, labels: np.ndarray, side: np.ndarray, sets: li
     return out
 
 
-def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, sets: DataFrame, light: int, buckets: int) -> DataFrame:
+def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, classes: DataFrame, docs: DataFrame, light: int, buckets: int) -> DataFrame:
     """Links between components that meet in long lists, given these lists' rows (sig, key, n, label).
 
     A class has its home in the smallest of its lists. The classes of a home and a band of sizes fall in
@@ -411,7 +424,7 @@ def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, se
     needs = whole.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(whole.where("x <> y").select("x", "y", "y", F.lit(1)))
     needs = materialize(needs.join(blocks.select("key", "label", "n", "block"), "block").select("x", "y", "side", "key", "label", "n"), "jaccard-block-needs")
     parts = partitions_for(8 * (needs.agg(F.sum("n")).first()[0] or 0), BUCKET_BYTES, 8)
-    dealt = needs.drop("n").join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
+    dealt = sent(needs.drop("n"), classes, docs).withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
         x, y, side, key, label = (table.column(c).to_numpy() for c in ("x", "y", "side", "key", "label"))
@@ -437,7 +450,7 @@ def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, se
     both = counted.join(met_pairs.groupBy("a", "b").agg(F.sum("n").alias("more")), ["a", "b"], "left").where("n + coalesce(more, 0) >= need")
     second = materialize(both.select("a", "b").join(done, ["a", "b"], "left_anti"), "jaccard-second")
     if not second.isEmpty():
-        found = found.union(verify(second, sets, buckets))
+        found = found.union(verify(second, classes, docs, buckets))
     discard(homes, blocks, rows, lists, meet, needs)
     return found
 
@@ -524,18 +537,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stars = met.where(F.col("kind") == STARS).select("a", "b")
     long = met.where(F.col("kind") == LONG).select(F.col("a").alias("sig"), F.col("b").alias("key"), "n")
     pairs = materialize(counted.where("n >= need").select("a", "b").union(stars).distinct(), "jaccard-candidates")
-    # any member of a long list may be compared in a block
-    wanted = pairs.select("a").union(pairs.select("b")).union(long.select("key")).toDF("key").distinct()
-    sets = sets_of(wanted, classes, docs)
-    links = verify(pairs, sets, buckets)
+    links = verify(pairs, classes, docs, buckets)
     labels = materialize(components(links), "jaccard-labels")
     marked = long.join(labels.toDF("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
     open_lists = materialize(marked.join(several, "sig").select("sig", "key", "n", "label"), "jaccard-open")
     if not open_lists.isEmpty():
-        more = cross_links(open_lists, met.where(F.col("kind") == PAIRS).select("a", "b", "n"), pairs, sets, light, buckets)
+        more = cross_links(open_lists, met.where(F.col("kind") == PAIRS).select("a", "b", "n"), pairs, classes, docs, light, buckets)
         labels = materialize(components(links.union(more)), "jaccard-labels")
-    discard(pairs, sets, links, open_lists)
+    discard(pairs, open_lists)
     owner = classes.join(labels.toDF("key", "label"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     smallest = owner.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = materialize(owner.join(smallest, "label").select("key", "component_id"), "jaccard-components")
