@@ -57,11 +57,40 @@ def test_token_segments_round_trip(spark):
     for i, d in enumerate(seg.doc_ids):
         t = "null id" if d is None else texts[d]
         assert seg.document(i).tolist() == own.encode(t or "", add_special_tokens=False).ids + [2]
+    whole = seg.tokens()
+    for a, b in ((0, 1), (3, 17), (len(whole) - 5, len(whole) + 9), (40, 400), (7, 7)):
+        assert seg.stretch(a, b).tolist() == whole[a:b].tolist()
     with pytest.raises(ValueError):
         token_binary.Segment(b"x" * 60)
+    with pytest.raises(ValueError):
+        token_binary.WordEncoder(P.path("byte_bpe_50k.json"))
     assert token_binary.token_index(token_binary.write_shards(empty(spark), path)).count() == 0
 
 
+def test_words_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, words = Tokenizer.from_file(path), token_binary.WordEncoder(path)
+    r = random.Random(5)
+    bits = ["Hello", " ", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "é", "É", "e\u0301", "İ", "ΣΑΣ", "ς", "don't", "'s", "1", "½", "\u00a0", "\x01", "\x00", "\x1c", "\x85", "日本", "🙂", "a.b", ",", "!!", "word", "\t", "\n", "ﬁ", "ǅ", "\u0338", "="]
+    texts = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(14))) for _ in range(3000)] + ["Hello World <| x", "日本語" * 4000, "Long " * 20_000]
+    got = words.encode(texts)
+    cuts = np.flatnonzero(got == token_binary.END)
+    for t, x in zip(texts, np.split(got, cuts + 1)):
+        assert x[:-1].tolist() == own.encode(t, add_special_tokens=False).ids, t
+
+
+def test_wide_symbols_round_trip():
+    r = np.random.default_rng(2)
+    seq = np.concatenate([r.integers(0, 40, 4000) + 70_000, [token_binary.END], np.tile([99_999, 70_001], 300), [token_binary.END]]).astype(np.uint32)
+    stored = token_binary.write_segment([5, None], seq, 100_000, 2)
+    back = token_binary.Segment(stored)
+    assert back.doc_ids == [5, None] and back.token_ends.tolist() == [4001, 4602]
+    assert back.tokens().tolist() == np.where(seq == token_binary.END, 2, seq).tolist()
+    assert len(back.symbols) < len(seq) - 500
+
+
 def test_grammar_expands_to_what_was_compressed():
     r = np.random.default_rng(1)
     seq = np.concatenate([r.integers(0, 5, 5000), np.full(400, 3), [65535], np.tile([1, 2, 3, 4], 500)]).astype(np.uint16)
@@ -427,3 +456,48 @@ def test_words_are_split_at_ascii_blanks_only():
     w = Words(["A b\x0bc d", "", None, "a B c D"])
     assert np.diff(w.offsets).tolist() == [3, 0, 0, 3]
     assert w.hashes[0] == w.hashes[3] and w.hashes[1] == w.hashes[4] and w.hashes[2] == w.hashes[5]
+
+
+def test_taken_rows_equal_the_mix_for_null_and_repeated_ids(spark):
+    r = random.Random(4)
+    rows = [(None if i % 3 == 0 else i // 2, " ".join("w" for _ in range(r.randrange(1, 30))) + f" {i}", r.choice(["a", "b", "c", None]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    per_source = lambda x, n: {s: sum(n(y) for y in x if y["source"] == s) for s in ("a", "b", "c", None)}
+    told = per_source(mixing.mix_sources(df).collect(), lambda y: y["taken"])
+    took = mixing.take_mix(df)
+    assert took.columns == df.columns
+    assert per_source(took.collect(), lambda y: len(y["text"].split())) == told
+    assert mixing.take_mix(df.limit(0)).count() == 0
+
+
+def test_scores_are_the_largest_over_all_windows():
+    texts = [f"good day to you {i}" for i in range(40)] + [f"you vile{i} scum" for i in range(40)]
+    net = toxicity.fit([*texts, *texts], [0] * 40 + [1] * 40 + [0] * 40 + [1] * 40)
+    scorer = toxicity.Scorer(net)
+    r = random.Random(2)
+    for n in (0, 1, 31, 32, 33, 200, 3000):
+        words = [r.choice(["good", "day", "vile", "scum", "antidisestablishmentarianism", "日本語" * 9]) for _ in range(n)]
+        x = net.project(net.embed(words)[3]) if words else np.zeros((0, 6 * toxicity.HIDDEN), np.float32)
+        gates = np.concatenate((net.p["bx"][None], x)).astype(np.float32)
+        want = []
+        for a, b in toxicity.windows_of(n):
+            at = np.zeros((1, toxicity.WINDOW), np.int64)
+            at[0, :b - a] = np.arange(a + 1, b + 1)
+            want.append(net.run(gates, at, (at > 0).astype(np.float32))[0])
+        assert scorer.logits([" ".join(words)])[0] == pytest.approx(max(want), abs=1e-3)
+
+
+def test_long_words_are_read_whole():
+    assert toxicity.char_rows("antidisestablishmentism") != toxicity.char_rows("antidisestab" + "x" * 12 + "lishmentism")
+
+
+def test_rows_choose_their_filters_and_come_back():
+    r = np.random.default_rng(8)
+    data = np.concatenate([r.integers(0, 256, (3, 192)), np.tile(np.arange(192) % 256, (4, 1)), np.full((3, 192), 7), np.repeat(np.arange(5)[:, None] * 50, 192, 1)]).astype(np.uint8)
+    stored = media.encode_png(data.tobytes())
+    assert (media.decode_png(stored) == data).all()
+    for f in (0, 1, 2):
+        assert (media.decode_png(media.encode_png(data.tobytes(), f)) == data).all()
+    at = stored.index(b"IDAT")
+    lines = np.frombuffer(zlib.decompress(stored[at + 4:at + 4 + int.from_bytes(stored[at - 4:at], "big")]), np.uint8).reshape(len(data), -1)
+    assert set(lines[:, 0].tolist()) >= {1, 2}

@@ -33,55 +33,70 @@ def payload_of(raw: bytes) -> bytes:
     return raw + b" " * (max(1, -(-len(raw) // ROW)) * ROW - len(raw))
 
 
-def encode_png(payload: bytes, filter_type: int = 0, level: int = 6) -> bytes:
-    """An 8-bit RGB image 64 pixels wide; every row carries the given filter (0 none, 1 left, 2 up)."""
+def encode_png(payload: bytes, filter_type: int | None = None, level: int = 6) -> bytes:
+    """An 8-bit RGB image 64 pixels wide.
+
+    Each row carries that of the filters 0 (none), 1 (left) and 2 (up) with the least sum of absolute
+    differences, the first of equal ones, or the one asked for.
+    """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     lines = np.empty((len(rows), ROW + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = filter_type, rows
-    if filter_type == 1:
-        lines[:, 1 + CHANNELS:] -= rows[:, :-CHANNELS]
-    elif filter_type == 2:
-        lines[1:, 1:] -= rows[:-1]
-    elif filter_type:
+    left, up = rows.copy(), rows.copy()
+    left[:, CHANNELS:] -= rows[:, :-CHANNELS]
+    up[1:] -= rows[:-1]
+    if filter_type is None:
+        weight = lambda x: np.minimum(x, -x).sum(axis=1, dtype=np.int64)
+        kinds = np.argmin(np.stack([weight(rows), weight(left), weight(up)]), axis=0)
+    elif filter_type in (0, 1, 2):
+        kinds = np.full(len(rows), filter_type)
+    else:
         raise MediaError("the writer knows filters 0 to 2")
+    lines[:, 0], lines[:, 1:] = kinds, rows
+    for kind, made in ((1, left), (2, up)):
+        own = kinds == kind
+        lines[own, 1:] = made[own]
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def unfilter(kinds: np.ndarray, data: np.ndarray, step: int) -> np.ndarray:
-    """Undo the five row filters; rows without a filter, or runs with filter 2, are done as whole arrays."""
+    """Undo the five row filters: rows with filter 1 at once, runs of filter 2 by sums down the run, the others row by row."""
     out = data.copy()
     if not kinds.any():
         return out
-    if (kinds == 2).all():
-        return np.cumsum(out, axis=0, dtype=np.uint8)
-    above = np.zeros(out.shape[1], np.uint8)
-    for i, kind in enumerate(kinds):
-        row = out[i]
-        if kind == 1:
-            row[:] = np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            left = np.zeros(step, np.int64)
-            corner = np.zeros(step, np.int64)
-            for x in range(0, len(row), step):
-                up = above[x:x + step].astype(np.int64)
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                left = (row[x:x + step] + guess) & 255
-                row[x:x + step] = left
-                corner = up
-        elif kind:
-            raise MediaError(f"unknown row filter {kind}")
-        above = row
+    if kinds.max() > 4:
+        raise MediaError(f"unknown row filter {kinds.max()}")
+    own = kinds == 1
+    if own.any():
+        out[own] = np.cumsum(out[own].reshape(own.sum(), -1, step), axis=1, dtype=np.uint8).reshape(own.sum(), -1)
+    cuts = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1).astype(bool)) if len(kinds) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if kinds[a] == 2:
+            begin = max(a - 1, 0)
+            out[begin:b] = np.cumsum(out[begin:b], axis=0, dtype=np.uint8)
+        elif kinds[a] > 2:
+            for i in range(a, b):
+                _predicted(out[i], out[i - 1] if i else np.zeros(out.shape[1], np.uint8), int(kinds[a]), step)
     return out
 
 
+def _predicted(row: np.ndarray, above: np.ndarray, kind: int, step: int) -> None:
+    """Undo filter 3 (mean) or 4 (nearest of three) in place."""
+    left = np.zeros(step, np.int64)
+    corner = np.zeros(step, np.int64)
+    for x in range(0, len(row), step):
+        up = above[x:x + step].astype(np.int64)
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            p = left + up - corner
+            a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        left = (row[x:x + step] + guess) & 255
+        row[x:x + step] = left
+        corner = up
+
+
 def decode_png(stored: bytes) -> np.ndarray:
     """Samples (height, row bytes) of a stored image; every chunk's checksum is tested."""
     if stored[:8] != SIGNATURE:
@@ -138,7 +153,7 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_type: int = 0, level: int = 6) -> DataFrame:
+def to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_type: int | None = None, level: int = 6) -> DataFrame:
     """Store each whole text as a PNG: doc_id, n_bytes, media. Null texts are stored as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +194,7 @@ def media_features(media: DataFrame) -> DataFrame:
 def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every text stored as an image, read back and described, one row a document; nothing is shuffled.
 
-    Null and empty texts give one row of spaces; repeated rows give repeated results; an empty table gives
+    Null and empty texts give one row of spaces; a very long text is one tall image; repeated rows give repeated results; an empty table gives
     an empty one; other columns are ignored.
     """
     return media_features(to_media(docs, doc_id, text))

@@ -52,9 +52,35 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     An empty table gives an empty result; a source without words has target 0. Columns besides the three
     named are ignored. Returns doc_id, source, size, source_size, target, copies, taken.
     """
+    slim = _sizes(docs, doc_id, text, source)
+    taken = _copies(slim, weights, share, most)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as ``mix_sources`` takes each, with their columns.
+
+    Each row is taken by its own key and source, so that null and repeated ids, and columns of any name,
+    change nothing. An empty table gives an empty one.
+    """
+    plan = _plan(_sizes(docs, doc_id, text, source), weights, share, most)
+    own = docs.select(F.struct(*docs.columns).alias("row"), *_keys(doc_id, text, source))
+    placed = own.join(plan, "skey").select("row", _times(most).alias("copies")).where("copies > 0")
+    return placed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+
+
+def _keys(doc_id: str, text: str, source: str) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("skey"), sampling_key(doc_id, text).alias("k")]
+
+
+def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("skey"), size.alias("size"), sampling_key(doc_id, text).alias("k"))
-    slim = materialize(slim, "mix-sizes")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *_keys(doc_id, text, source))
+    return materialize(slim, "mix-sizes")
+
+
+def _plan(slim: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """One row a source: target, whole copies of every document, and the threshold under which keys get one more."""
     sums = slim.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = materialize(targets(sums, weights, share, most).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "mix-targets")
     cut = plan.select("skey", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
@@ -71,10 +97,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         cut = materialize(cut, f"mix-cut{level}").drop(*["upto"] * (level < LEVELS))
     # the last cell is taken where that comes nearer to the target
     cut = cut.select("skey", (F.col("prefix") + F.when(F.col("upto") - F.col("rest") < F.col("rest") - F.col("below"), 1).otherwise(0)).alias("threshold"))
-    plan = materialize(plan.join(cut, "skey", "left").select("skey", "source_size", "target", "base", F.when(F.col("rest") > 0, F.col("threshold")).otherwise(F.lit(0)).alias("threshold")), "mix-plan")
+    return materialize(plan.join(cut, "skey", "left").select("skey", "source_size", "target", "base", F.when(F.col("rest") > 0, F.col("threshold")).otherwise(F.lit(0)).alias("threshold")), "mix-plan")
+
+
+def _times(most: float) -> Column:
     copies = F.col("base") + F.when(F.col("threshold").isNull() | (F.col("k") < F.col("threshold")), 1).otherwise(0)
-    copies = F.least(copies, F.lit(int(most))).cast("long")
-    return slim.join(plan, "skey").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return F.least(copies, F.lit(int(most))).cast("long")
+
+
+def _copies(slim: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    return slim.join(_plan(slim, weights, share, most), "skey").withColumn("copies", _times(most))
 
 
 ORACLE = r"""

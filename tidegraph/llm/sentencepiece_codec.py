@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from .support import byte_groups, map_batches
 
 GROUP_BYTES = 1 << 20
-KEPT_CHUNKS = 400_000
+#: Chunks kept by a worker, and characters of chunks after which it begins anew.
+KEPT_CHUNKS, KEPT_CHARS = 400_000, 16 << 20
 BLANK = "▁"
 # Blanks and line feeds begin a chunk; no piece of a splitting vocabulary reaches over that place.
 _CHUNK = re.compile(r"[ \n]+[^ \n]*")
@@ -99,10 +100,10 @@ def normalize_with_alignment(text: str, table: CharacterMap, dummy_prefix: bool
 
 
 class Encoded:
-    """Ids of one text; spans are computed when asked for."""
+    """Ids of one text; spans are read from the normaliser's alignment when asked for."""
 
-    def __init__(self, text: str, parts: list[tuple], codec: Codec, chunked: bool) -> None:
-        self.text, self.parts, self.codec, self.chunked = text, parts, codec, chunked
+    def __init__(self, text: str, parts: list[tuple], codec: Codec) -> None:
+        self.text, self.parts, self.codec = text, parts, codec
         self._ids, self._decimals, self._sizes = zip(*parts) if parts else ((), (), ())
 
     @property
@@ -114,12 +115,11 @@ class Encoded:
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last+1 original byte of each piece; a blank put in front has an empty span."""
-        sizes = np.frombuffer(b"".join(self._sizes), np.uint32)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        if self.chunked:  # the first chunk begins with the blank that the library puts in front
-            ends = np.maximum(ends - 1, 0)
-        if (int(ends[-1]) if len(ends) else 0) != len(self.text.encode()) and self.parts and self.codec.lossless:
-            raise ValueError("pieces do not cover the text")
+        ends = np.cumsum(np.frombuffer(b"".join(self._sizes), np.uint32), dtype=np.int64)
+        _, places = self.codec.normalized(self.text)
+        if (int(ends[-1]) if len(ends) else 0) != len(places) - 1:
+            raise ValueError("pieces do not cover the normalised text")
+        ends = places[ends]
         return np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1])), ends
 
     def decoded(self) -> str:
@@ -141,35 +141,29 @@ class Codec:
         self.options = (spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.sizes = [1 if self.library.is_byte(i) else len(x.encode()) for i, x in enumerate(pieces)]
-        self.own_sizes = [n - 2 * x.count(BLANK) for n, x in zip(self.sizes, pieces)]
         self.numbers = list(range(len(pieces)))  # shared by all kept entries
         self.unknown = self.library.unk_id()
-        self.lossless = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
         self.blank = self.library.piece_to_id(BLANK)
         crosses = any(re.search(f"[^{BLANK}]{BLANK}|\n.", x) for x in pieces)
         # chunks are safe for plain models whose pieces hold blanks in front only
         self.splits = not self.table.units and self.options == (True, False, True) and not crosses and "\n" not in pieces and self.blank != self.unknown and self.library.is_byte(self.library.piece_to_id("<0x0A>"))
         self.known: dict[str, tuple] = {}
+        self.held = 0
 
     def normalized(self, text: str) -> tuple[str, np.ndarray]:
         return normalize_with_alignment(text, self.table, *self.options)
 
     def entry(self, ids: list[int], text: str) -> tuple:
-        """Ids, their decimals, and how many original bytes each covers, by the normaliser's alignment."""
+        """Ids, their decimals, and how many bytes of the normalised text each covers."""
         if self.unknown in ids:
             sizes = [len(p.piece.encode()) if p.id == self.unknown else self.sizes[p.id] for p in self.library.encode(text, out_type="immutable_proto").pieces]
         else:
             sizes = [self.sizes[i] for i in ids]
-        normal, places = self.normalized(text)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        if len(ends) and ends[-1] != len(places) - 1:
-            raise ValueError("pieces do not cover the normalised text")
-        own = np.diff(places[ends], prepend=0) if len(ends) else ends
-        return ids, ",".join(map(str, ids)), own.astype(np.uint32).tobytes()
+        return ids, ",".join(map(str, ids)), array("I", sizes).tobytes()
 
     def chunk_entry(self, ids: list[int]) -> tuple:
-        """The same for a chunk of a plain model, where normalising only widens each blank by two bytes."""
-        own, numbers = self.own_sizes, self.numbers
+        """The same for a chunk of a plain model, where ids are shared by all kept entries."""
+        own, numbers = self.sizes, self.numbers
         ids = [numbers[i] for i in ids]
         return ids, ",".join(map(str, ids)), array("I", [own[i] for i in ids]).tobytes()
 
@@ -183,19 +177,22 @@ class Codec:
             elif chunk[0] == "\n":
                 ids = ids[1:]
             self.known[chunk] = self.chunk_entry(ids)
+            self.held += len(chunk)
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         each = [_CHUNK.findall(" " + x) if self.splits and x and BLANK not in x else None for x in texts]
         found = [list(map(self.known.get, chunks)) if chunks else None for chunks in each]
         fresh = {c for chunks, parts in zip(each, found) if parts and None in parts for c, p in zip(chunks, parts) if p is None}
-        if len(self.known) + len(fresh) > KEPT_CHUNKS:
-            self.known = {}
+        if len(self.known) + len(fresh) > KEPT_CHUNKS or self.held > KEPT_CHARS:
+            self.known, self.held = {}, 0
+            fresh = {c for chunks in each if chunks for c in chunks}
+            found = [[None] * len(chunks) if chunks else None for chunks in each]
         self.learn(list(fresh))
         out = []
         for x, chunks, parts in zip(texts, each, found):
             if parts and None in parts:
                 parts = [p or self.known[c] for c, p in zip(chunks, parts)]
-            out.append(Encoded(x, parts or ([self.entry(self.library.encode(x), x)] if x else []), self, bool(chunks)))
+            out.append(Encoded(x, parts or ([self.entry(self.library.encode(x), x)] if x else []), self))
         return out
 
 
@@ -223,7 +220,7 @@ def encode_documents(docs: DataFrame, model: str, result: Callable[[Encoded], di
 
     ``result`` turns each encoded text into the output columns: by default the ids, the original byte span
     of every piece and the decoded text; ``digests`` gives hashes of these instead, so that they need not
-    leave the worker. Null texts are empty and have no ids; null and repeated ids pass through; an empty
+    leave the worker. Texts are handled by groups of about GROUP_BYTES, very long ones alone. Null texts are empty and have no ids; null and repeated ids pass through; an empty
     table gives an empty one; other columns are ignored.
     """
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -19,14 +18,21 @@ from pyspark.sql import functions as F
 
 from .support import byte_groups, map_batches, materialize, partitions_for, total_bytes
 
-MAGIC = b"TGRP0001"
+MAGIC = b"TGRP0002"
 HEAD = struct.Struct("<8sIIQQII")
 GROUP_BYTES = 2 << 20
 SEGMENT_TOKENS = 2_000_000
 PARTITION_BYTES = 32 << 20
-KEPT_WORDS = 900_000
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 16
-EMPTY = np.uint32(0xFFFFFFFF)
+#: Words kept by a worker, and bytes of words after which it begins anew.
+KEPT_WORDS, KEPT_BYTES = 900_000, 24 << 20
+MARK = "\x01"
+#: Marks that may end a word and that no contraction begins with.
+TAIL = ".,;:!?|"
+#: Ends a document between encoder and grammar; no id is as large.
+END = 0xFFFFFFFF
+RULES_A_ROUND, LEAST_COUNT = 8192, 8
+#: Up to as many plain ids, symbols are 16 bits wide and rules take the rest; beyond, 32 bits.
+NARROW = 61_440
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -40,38 +46,53 @@ def gather(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray, at: np.ndarr
     return pool[where]
 
 
-def compress(seq: np.ndarray, first: int, end: int = 65535) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def symbol_kinds(first: int) -> tuple[type, type]:
+    """The integers that hold a symbol and a pair of them, for ``first`` plain ids."""
+    return (np.uint16, np.uint32) if first <= NARROW else (np.uint32, np.uint64)
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    """20 bits of a product hash of pairs."""
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(2654435761)) >> np.uint32(12)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
+def compress(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Replace frequent pairs by new symbols from ``first`` on, in rounds over the whole sequence.
 
-    ``end`` marks document ends; no pair holds it, so documents begin at symbols. In a round all pairs are
-    counted, the most frequent get symbols, and overlapping occurrences are taken from the left.
-    Returns the symbols, the left and right sides of the rules, and the rules of each round.
+    The largest integer ends documents; no pair holds it, so documents begin at symbols. In a round all
+    pairs are counted, up to RULES_A_ROUND of the most frequent get symbols (of those that share a slot the
+    most frequent one; the others wait for the next round), and overlapping occurrences are taken from the
+    left. It ends when no pair stands LEAST_COUNT times, below which a rule takes more room than it saves,
+    or when the symbols run out. Returns the symbols, the sides of the rules, and the rules of each round.
     """
-    seq = seq.astype(np.uint16)
+    kind, wide = symbol_kinds(first)
+    end, bits = np.iinfo(kind).max, wide(8 * np.dtype(kind).itemsize)
+    seq = seq.astype(kind)
     left, right, sizes = [], [], []
     symbol = first
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, end - symbol)
-        if len(seq) < 2 or room <= 0:
-            break
-        codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+    while len(seq) > 1 and symbol < end:
         usable = (seq[:-1] != end) & (seq[1:] != end)
+        codes = (seq[:-1].astype(wide) << bits) | seq[1:]
         ordered = np.sort(codes[usable])
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, np.int64)
         counts = np.diff(edges)
         often = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(often):
             break
+        room = min(RULES_A_ROUND, end - symbol)
         if len(often) > room:
             often = often[np.argpartition(counts[often], len(often) - room)[-room:]]
         often = often[np.argsort(counts[often], kind="stable")]
         pairs = ordered[edges[often]]
-        table = np.full(1 << 20, EMPTY, np.uint32)
-        table[(pairs * np.uint32(2654435761)) >> np.uint32(12)] = pairs  # a later one is more frequent
-        pairs = pairs[table[(pairs * np.uint32(2654435761)) >> np.uint32(12)] == pairs][::-1]
-        names = np.zeros(1 << 20, np.uint16)
-        names[(pairs * np.uint32(2654435761)) >> np.uint32(12)] = np.arange(symbol, symbol + len(pairs))
-        slots = (codes * np.uint32(2654435761)) >> np.uint32(12)
+        own = _slots(pairs)
+        table = np.full(1 << 20, np.iinfo(wide).max, wide)
+        table[own] = pairs  # a later one is more frequent
+        pairs = pairs[table[own] == pairs][::-1]
+        names = np.zeros(1 << 20, kind)
+        names[_slots(pairs)] = np.arange(symbol, symbol + len(pairs))
+        slots = _slots(codes)
         hits = np.flatnonzero((table[slots] == codes) & usable)
         runs = np.concatenate(([True], np.diff(hits) != 1))
         begun = np.flatnonzero(runs)[np.cumsum(runs) - 1]
@@ -80,11 +101,11 @@ def compress(seq: np.ndarray, first: int, end: int = 65535) -> tuple[np.ndarray,
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
         seq = seq[keep]
-        left.append((pairs >> np.uint32(16)).astype(np.uint16))
-        right.append((pairs & np.uint32(0xFFFF)).astype(np.uint16))
+        left.append((pairs >> bits).astype(kind))
+        right.append(pairs.astype(kind))
         sizes.append(len(pairs))
         symbol += len(pairs)
-    none = np.zeros(0, np.uint16)
+    none = np.zeros(0, kind)
     return seq, np.concatenate([none, *left]), np.concatenate([none, *right]), sizes
 
 
@@ -94,7 +115,7 @@ class Grammar:
     def __init__(self, first: int, left: np.ndarray, right: np.ndarray, sizes: list[int]) -> None:
         self.starts = np.arange(first, dtype=np.int64)
         self.sizes = np.ones(first, np.int64)
-        self.pool = np.arange(first, dtype=np.uint16)
+        self.pool = np.arange(first, dtype=left.dtype)
         at = 0
         for n in sizes:
             both = np.column_stack((left[at:at + n], right[at:at + n])).ravel().astype(np.int64)
@@ -110,24 +131,24 @@ class Grammar:
 
 
 def write_segment(doc_ids: list[int | None], tokens: np.ndarray, first: int, end_id: int) -> bytes:
-    """One segment in the file format: head, null flags, ids, symbol offsets, token offsets, rules, expansion lengths, symbols, checksum.
+    """One segment in the file format: head, rules a round, null flags, ids, symbol offsets of the documents,
+    rules, expansion lengths, symbols, checksum.
 
-    ``tokens`` ends every document with 65535, which stands for ``end_id``.
+    ``tokens`` ends every document with END, which stands for ``end_id``.
     """
-    n_tokens = len(tokens)
-    token_ends = np.flatnonzero(tokens == 65535).astype(np.uint64) + np.uint64(1)
     symbols, left, right, sizes = compress(tokens, first)
-    ends = np.flatnonzero(symbols == 65535)
+    ends = np.flatnonzero(symbols == np.iinfo(symbols.dtype).max)
     symbols[ends] = end_id
-    lengths = Grammar(first, left, right, sizes).sizes[first:].astype(np.uint32)
-    ids = np.array([0 if x is None else x for x in doc_ids], np.int64)
+    lengths = Grammar(first, left, right, sizes).sizes[first:].astype("<u4")
+    ids = np.array([0 if x is None else x for x in doc_ids], "<i8")
     nulls = np.array([x is None for x in doc_ids], np.uint8)
-    body = b"".join([HEAD.pack(MAGIC, len(doc_ids), first, n_tokens, len(symbols), len(left), len(sizes)), np.array(sizes, np.uint32).tobytes(), nulls.tobytes(), ids.tobytes(), (ends + 1).astype(np.uint64).tobytes(), token_ends.tobytes(), left.tobytes(), right.tobytes(), lengths.tobytes(), symbols.astype("<u2").tobytes()])
+    head = HEAD.pack(MAGIC, len(doc_ids), first, len(tokens), len(symbols), len(left), len(sizes))
+    body = b"".join([head, np.array(sizes, "<u4").tobytes(), nulls.tobytes(), ids.tobytes(), (ends + 1).astype("<u8").tobytes(), left.tobytes(), right.tobytes(), lengths.tobytes(), symbols.tobytes()])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 class Segment:
-    """A segment read back; documents can be decoded one by one."""
+    """A segment read back; documents, or any stretch of ids, can be decoded alone."""
 
     def __init__(self, stored: bytes) -> None:
         if zlib.crc32(memoryview(stored)[:-4]) != struct.unpack("<I", stored[-4:])[0] or stored[:8] != MAGIC:
@@ -141,27 +162,39 @@ class Segment:
             at += out.nbytes
             return out
 
+        kind = np.dtype(symbol_kinds(first)[0]).newbyteorder("<").str
         sizes = take(rounds, "<u4").tolist()
         nulls, ids = take(docs, "u1"), take(docs, "<i8")
         self.doc_ids = [None if x else int(y) for x, y in zip(nulls, ids)]
-        self.symbol_ends, self.token_ends = take(docs, "<u8").astype(np.int64), take(docs, "<u8").astype(np.int64)
-        left, right = take(rules, "<u2"), take(rules, "<u2")
-        self.lengths = take(rules, "<u4")
-        self.symbols = take(n_symbols, "<u2")
+        self.symbol_ends = take(docs, "<u8").astype(np.int64)
+        left, right = take(rules, kind), take(rules, kind)
+        lengths = np.concatenate((np.ones(first, np.int64), take(rules, "<u4")))
+        self.symbols = take(n_symbols, kind)
+        #: Ids up to and with each symbol, from the stored expansion lengths.
+        self.offsets = np.cumsum(lengths[self.symbols])
+        self.token_ends = self.offsets[self.symbol_ends - 1]
+        if (int(self.offsets[-1]) if n_symbols else 0) != self.n_tokens:
+            raise ValueError("expansion lengths do not give the number of ids")
         self.grammar = Grammar(first, left, right, sizes)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document, its end id included."""
         return self.grammar.expand(self.symbols[self.symbol_ends[i - 1] if i else 0:self.symbol_ends[i]])
 
+    def stretch(self, begin: int, end: int) -> np.ndarray:
+        """Ids ``begin`` to ``end`` - 1 of the segment; only the symbols that hold them are expanded."""
+        begin, end = max(0, begin), min(end, self.n_tokens)
+        if begin >= end:
+            return self.symbols[:0]
+        a = int(np.searchsorted(self.offsets, begin, side="right"))
+        b = int(np.searchsorted(self.offsets, end - 1, side="right"))
+        before = int(self.offsets[a - 1]) if a else 0
+        return self.grammar.expand(self.symbols[a:b + 1])[begin - before:end - before]
+
     def tokens(self) -> np.ndarray:
         return self.grammar.expand(self.symbols)
 
 
-# a word of letters with marks after it that no contraction begins with
-_STEM = re.compile(r"([^\W\d_]+)([.,;:!?|]*)\Z")
-
-
 def byte_level_alphabet() -> dict[int, int]:
     """Byte-level tokenizers write printable Latin-1 bytes as themselves and the others from U+0100 on."""
     same = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -169,14 +202,25 @@ def byte_level_alphabet() -> dict[int, int]:
     return {b: b for b in same} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-_BYTE_LEVEL = byte_level_alphabet()
+_BYTE_LEVEL = {b: x for b, x in byte_level_alphabet().items() if b != 32}
+_NONE = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def _settled(text: str) -> bool:
+    """Whether lowering and composing leave the text as it is."""
+    return text.isascii() and text == text.lower() or text == text.lower() and "\u03c2" not in text and unicodedata.is_normalized("NFC", text)
+
+
+def _joined(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
 
 
 class WordEncoder:
-    """Ids by white-space separated word, for tokenizers whose tokens never hold white space.
+    """Ids by white-space separated word, for tokenizers that always part words there and keep no white space.
 
-    Words are kept between batches up to a bound. ASCII letters are lowered first, as the tokenizer would
-    do, unless the text may hold the spelling of a special token.
+    The library encodes many new words in one string, each followed by a mark that words do not hold, and the
+    ids are cut at the marks. Words are kept between batches up to a bound in number and in bytes. ASCII letters are lowered first, as the tokenizer would do, unless the text may hold
+    the spelling of a special token. Files with other steps than those known here raise ValueError.
     """
 
     def __init__(self, path: str) -> None:
@@ -185,67 +229,90 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        if self.vocabulary >= 65535:
-            raise ValueError("ids must fit 16 bits beside the grammar's symbols")
         spec = json.loads(self.library.to_str())
-        steps = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
-        self.lowers = '"Lowercase"' in steps
-        letters_apart = json.dumps(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")[1:]
-        self.plain = self.lowers and all(x in steps for x in ('"NFC"', '"ByteLevel"', letters_apart))
-        self.marks: dict[str, list[int]] = {}
+        self.check(spec)
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.mark = self.whole([MARK])[0]
+        if len(self.mark) != 1:
+            raise ValueError("the mark between words must be one token")
+        letters_apart = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        known = [x for x in self.flat(spec["pre_tokenizer"]) if x["type"] == "Split"]
+        self.letters = None
+        if len(known) == 1 and known[0]["pattern"].get("Regex", "").endswith(letters_apart):
+            alone = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.letters = Tokenizer.from_str(json.dumps(alone))
+        self.specials = [x["content"].lower().encode() for x in spec["added_tokens"]]
         self.begin()
 
+    def check(self, spec: dict) -> None:
+        """Refuse tokenizers whose ids of a text are not those of its words."""
+        steps = [x for k in ("normalizer", "pre_tokenizer") for x in self.flat(spec[k])]
+        kinds = {x["type"] for x in steps}
+        removed = [x for x in steps if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"[^\s" in x["pattern"].get("Regex", "")]
+        plain = all(not x.get("add_prefix_space") for x in steps if x["type"] == "ByteLevel")
+        inner = any(any(y.isspace() for y in x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
+        if not kinds <= {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"} or not removed or not plain or inner:
+            raise ValueError("this tokenizer may join or keep white space between words")
+
+    def flat(self, step: dict | None) -> list[dict]:
+        inner = [x for k in ("normalizers", "pretokenizers") for x in (step or {}).get(k, [])]
+        return [y for x in inner for y in self.flat(x)] if inner else [step] if step else []
+
     def begin(self) -> None:
         self.known: dict[bytes | None, int] = {None: 0}
-        self.pool, self.starts, self.sizes = np.array([65535], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.pool, self.starts, self.sizes = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fresh_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of words not seen before.
+    def marked(self, library, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without the mark, from one call of the library, and how many each has."""
+        ids = np.array(library.encode_batch_fast([f" {MARK} ".join([*words, ""]) if library is self.library else self.bytes_as_letters(f" {MARK} ".join([*words, ""]))], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == self.mark[0])
+        if len(ends) != len(words):
+            raise ValueError("words and marks do not part")
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def bytes_as_letters(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(_BYTE_LEVEL)
 
-        The pre-tokeniser always parts letters from the marks after them, so a word of letters, then marks,
-        has the ids of both; letters that the normaliser leaves alone go to the model without the steps before it.
+    def fresh_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and how many each has.
+
+        Where the pre-tokenizer parts letters from marks, a word of letters that the normaliser leaves alone,
+        then marks, has the ids of both, and the letters need no step before the model. All others take
+        every step.
         """
-        if not self.plain:
-            return self.whole(words)
-        out: list[list[int] | None] = [None] * len(words)
-        stems: dict[str, list[int]] = {}
-        other, tokenize, pool = [], self.library.model.tokenize, self.pool
-        for i, word in enumerate(words):
-            m = _STEM.match(word)
-            stem = m[1] if m else ""
-            if not stem or not stem.isalpha() or not (stem.isascii() or (stem == stem.lower() and "\u03c2" not in stem and unicodedata.is_normalized("NFC", stem))):
-                other.append(i)
-                continue
-            ids = stems.get(stem)
-            if ids is None:
-                at = self.known.get(stem.encode())
-                if at is not None and at < len(self.starts):
-                    ids = pool[self.starts[at]:self.starts[at] + self.sizes[at]].tolist()
-                else:
-                    ids = [x.id for x in tokenize(stem.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-                stems[stem] = ids
-            if m[2]:
-                if m[2] not in self.marks:
-                    self.marks[m[2]] = self.whole([m[2]])[0]
-                ids = ids + self.marks[m[2]]
-            out[i] = ids
-        for i, ids in zip(other, self.whole([words[i] for i in other])):
-            out[i] = ids
-        return out
+        stems = [w.rstrip(TAIL) for w in words]
+        plain = [self.letters is not None and x.isalpha() for x in stems]
+        low = _settled(" ".join([x for x, p in zip(stems, plain) if p and x.isascii()]))
+        plain = [p and (low and x.isascii() or _settled(x)) for x, p in zip(stems, plain)]
+        own = {x: i for i, x in enumerate(dict.fromkeys(x for x, p in zip(stems, plain) if p))}
+        tails = [w[len(x):] for w, x in zip(words, stems)]
+        ends = {x: i + len(own) for i, x in enumerate(dict.fromkeys(t for t, p in zip(tails, plain) if p))}
+        odd = {w: i + len(own) + len(ends) for i, w in enumerate(w for w, p in zip(words, plain) if not p and MARK in w)}
+        rest = {w: i + len(own) + len(ends) + len(odd) for i, w in enumerate(w for w, p in zip(words, plain) if not p and MARK not in w)}
+        pools, sizes = [], []
+        for ids, n in (self.marked(self.letters, list(own)) if own else _NONE, _joined(self.whole(list(ends))), _joined(self.whole(list(odd))), self.marked(self.library, list(rest)) if rest else _NONE):
+            pools.append(ids)
+            sizes.append(n)
+        pool, size = np.concatenate(pools), np.concatenate(sizes)
+        nothing = len(size)  # a piece without ids
+        size = np.append(size, 0)
+        at = np.fromiter((i for w, x, t, p in zip(words, stems, tails, plain) for i in ((own[x], ends[t]) if p else (odd[w] if w in odd else rest[w], nothing))), np.int64, 2 * len(words))
+        return gather(np.cumsum(size) - size, size, pool, at), size[at].reshape(-1, 2).sum(1)
 
     def learn(self, fresh: list[bytes]) -> None:
-        pools, sizes = [self.pool], []
+        pools, sizes = [self.pool], [self.sizes]
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
-            ids = self.fresh_ids([w.decode() for w in part])
+            ids, n = self.fresh_ids(b"\n".join(part).decode().split("\n"))
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
-            sizes += map(len, ids)
-            pools.append(np.fromiter(chain.from_iterable(ids), np.uint16))
-        self.pool = np.concatenate(pools)
-        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
+            self.held += sum(map(len, part))
+            pools.append(ids)
+            sizes.append(n)
+        self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def places(self, words: list[bytes | None]) -> np.ndarray:
@@ -254,20 +321,21 @@ class WordEncoder:
         missing = np.flatnonzero(out < 0).tolist()
         if missing:
             fresh = {words[i] for i in missing}
-            if len(self.known) + len(fresh) > KEPT_WORDS:
+            if len(self.known) + len(fresh) > KEPT_WORDS or self.held > KEPT_BYTES:
                 self.begin()
-                self.learn(list(set(words).difference(self.known)))
-                return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                fresh = set(words).difference(self.known)
+                missing = range(len(words))
             self.learn(list(fresh))
             out[missing] = [self.known[words[i]] for i in missing]
         return out
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
-        """Ids of the texts, 65535 after each."""
+        """Ids of the texts, END after each."""
         words: list[bytes | None] = []
         for x in texts:
             raw = (x or "").encode()
-            words += (raw.lower() if self.lowers and b"<|" not in raw else raw).split()
+            low = raw.lower() if self.lowers else raw
+            words += (raw if any(y in low for y in self.specials) else low).split()
             words.append(None)
         at = self.places(words)
         return gather(self.starts, self.sizes, self.pool, at)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from .support import byte_groups, map_batches
 
 GROUP_BYTES = 2 << 20
-KEPT_CHUNKS = 600_000
+#: Chunks kept by a worker, and characters of chunks after which it begins anew.
+KEPT_CHUNKS, KEPT_CHARS = 600_000, 24 << 20
 
 # A blank or line feed after a character that is no white space begins a new pre-token, whatever stands left of it.
 _AMBIGUOUS = re.compile(r"\s[ \n]")
@@ -35,6 +36,7 @@ class ChunkCounter:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[str, int] = {}
+        self.held = 0
         if path.endswith(".model"):
             import sentencepiece
 
@@ -52,11 +54,12 @@ class ChunkCounter:
         each = [self.chunks(x) for x in texts]
         found = [list(map(self.known.get, chunks)) for chunks in each]
         fresh = list({c for chunks, n in zip(each, found) if None in n for c, k in zip(chunks, n) if k is None})
-        if len(self.known) + len(fresh) > KEPT_CHUNKS:
-            self.known = {}
+        if len(self.known) + len(fresh) > KEPT_CHUNKS or self.held > KEPT_CHARS:
+            self.known, self.held = {}, 0
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
             self.known.update(zip(part, self.lengths(part)))
+            self.held += sum(map(len, part))
         return [sum(n) if None not in n else sum(self.known[c] if k is None else k for c, k in zip(chunks, n)) for chunks, n in zip(each, found)]
 
 
@@ -73,7 +76,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
     """Tokens of every whole text, as the tokenizer's library counts them without added special tokens.
 
     Texts are grouped by bytes, not rows; long ones are split at safe boundaries, and the library encodes
-    each distinct chunk once. The safe boundaries are those of byte-level pre-tokenisation; files ending in
+    each distinct chunk once. A text without blanks or line feeds is one chunk, whatever its length. The safe boundaries are those of byte-level pre-tokenisation; files ending in
     .model are encoded whole. Null texts count as empty (0 bytes, 0 tokens); null and repeated ids pass
     through; an empty table gives an empty one; other columns are ignored.
     Returns doc_id, n_bytes, n_tokens, over_limit.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -16,12 +17,15 @@ from .support import byte_groups, map_batches, ship_package
 #: Words in a window, and from one window to the next.
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
+#: Rows of the hashed tables; the number by which sums of grams are divided.
 WORD_ROWS, CHAR_ROWS, GRAMS = 1 << 15, 1 << 16, 9
 #: The fit reads at most this many labelled rows of each kind; it trains on those of up to FIT_CHARS
-#: characters, and places the score with all of them (texts of up to SHIFT_CHARS).
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS, SHIFT_CHARS = 800, 1800, 3000, 20_000
-EPOCHS, STEPS, BATCH, RATE = 6, 300, 24, 0.08
-GROUP_BYTES, KEPT_WORDS, CHUNK = 2 << 20, 400_000, 1024
+#: characters, and places the score with all of them.
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 800, 1800, 3000
+EPOCHS, STEPS, BATCH, RATE = 6, 300, 24, 0.14
+#: Words kept by a worker, and bytes of words after which it begins anew.
+KEPT_WORDS, KEPT_BYTES = 400_000, 16 << 20
+GROUP_BYTES, CHUNK = 2 << 20, 1024
 FOLDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -32,12 +36,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 def char_rows(word: str) -> list[int]:
-    """Rows of a word's character grams: its beginnings of 3 to 6, its end, and the trigrams inside."""
+    """Rows of all character grams of a word: its beginnings of 3 to 6 bytes, its end, and each 4 bytes inside."""
     w = word.encode()
     grams = [b"^" + w[:n] for n in (3, 4, 5, 6)]
     grams.append(w[-4:] + b"$")
-    grams += [w[i:i + 4] for i in range(0, min(len(w) - 3, GRAMS - 5))]
-    return [crc32(g) % CHAR_ROWS for g in grams][:GRAMS]
+    grams += [w[i:i + 4] for i in range(len(w) - 3)]
+    return [crc32(g) % CHAR_ROWS for g in grams]
 
 
 def _sum_rows(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
@@ -56,20 +60,22 @@ class Network:
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
         self.words = np.zeros((WORD_ROWS, WORD_DIM), np.float32)
-        self.chars = np.zeros((CHAR_ROWS + 1, CHAR_DIM), np.float32)  # the last row pads
+        self.chars = np.zeros((CHAR_ROWS, CHAR_DIM), np.float32)
         self.p = {
             "wx": f(WORD_DIM + CHAR_DIM, 6 * HIDDEN), "bx": np.zeros(6 * HIDDEN, np.float32), "u": f(2, HIDDEN, 3 * HIDDEN),
             "wa": f(2 * HIDDEN, ATTEND), "va": f(ATTEND, 1)[:, 0], "wo": f(2 * HIDDEN, 1)[:, 0], "bo": np.full(1, -1.0, np.float32),
         }
         self.scale, self.shift = 1.0, 0.0
 
-    def embed(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def embed(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' rows, the rows of all their grams, how many grams each has, and the inputs: a word's row
+        beside the sum of its grams."""
         rows = np.array([crc32(w.encode()) % WORD_ROWS for w in vocabulary], np.int64)
-        grams = np.full((len(vocabulary), GRAMS), CHAR_ROWS, np.int64)
-        for i, w in enumerate(vocabulary):
-            g = char_rows(w)
-            grams[i, :len(g)] = g
-        return rows, grams, np.concatenate((self.words[rows], self.chars[grams].mean(1)), axis=1)
+        each = [char_rows(w) for w in vocabulary]
+        n = np.array([len(g) for g in each], np.int64)
+        grams = np.fromiter(chain.from_iterable(each), np.int64, n.sum())
+        sums = np.add.reduceat(self.chars[grams], np.cumsum(n) - n, axis=0) / np.float32(GRAMS) if len(n) else np.zeros((0, CHAR_DIM), np.float32)
+        return rows, grams, n, np.concatenate((self.words[rows], sums), axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.p["wx"] + self.p["bx"]
@@ -213,7 +219,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         net.shift = 0.0 if any(labels) else 1e3
         return net
     sums = {k: np.full_like(v, 1e-3) for k, v in net.p.items()}
-    word_sums, char_sums = np.full(WORD_ROWS, 1e-3, np.float32), np.full(CHAR_ROWS + 1, 1e-3, np.float32)
+    word_sums, char_sums = np.full(WORD_ROWS, 1e-3, np.float32), np.full(CHAR_ROWS, 1e-3, np.float32)
     weight = np.where(y > 0, (y[use] == 0).sum() / max(1, (y[use] > 0).sum()), 1.0).astype(np.float32)
     weight = np.minimum(weight, 4)
     rng = np.random.default_rng(seed)
@@ -223,7 +229,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             own = order[start:start + BATCH]
             vocabulary = sorted({w for i in own for w in split[i]})
             number = {w: k + 1 for k, w in enumerate(vocabulary)}
-            rows, grams, x = net.embed(vocabulary)
+            rows, grams, many, x = net.embed(vocabulary)
             x = np.concatenate((np.zeros((1, x.shape[1]), np.float32), x))
             at, mask, text = _batch([np.array([number[w] for w in split[i]]) for i in own])
             gates = net.project(x)
@@ -241,12 +247,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             for k, v in g.items():
                 sums[k] += v * v
                 net.p[k] -= (RATE * v / np.sqrt(sums[k])).astype(np.float32)
-            for table, own_sums, r, grad in ((net.words, word_sums, rows, dx[:, :WORD_DIM]), (net.chars, char_sums, grams.ravel(), np.repeat(dx[:, WORD_DIM:] / GRAMS, GRAMS, axis=0))):
+            for table, own_sums, r, grad in ((net.words, word_sums, rows, dx[:, :WORD_DIM]), (net.chars, char_sums, grams, np.repeat(dx[:, WORD_DIM:] / GRAMS, many, axis=0))):
                 ids, back = np.unique(r, return_inverse=True)
                 grad_rows = _sum_rows(back.ravel(), grad, len(ids))
                 own_sums[ids] += (grad_rows * grad_rows).sum(1)
                 table[ids] -= 4 * RATE * grad_rows / np.sqrt(own_sums[ids])[:, None]
-            net.chars[CHAR_ROWS] = 0
     scorer = Scorer(net)
     best = np.concatenate([scorer.logits(texts[i:i + 200]) for i in range(0, len(texts), 200)])
     toxic, clean = np.sort(best[y > 0]), np.sort(best[y == 0])
@@ -267,6 +272,7 @@ class Scorer:
 
     def begin(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.gates = np.empty((1 << 14, 6 * HIDDEN), np.float32)
         self.gates[0] = self.net.p["bx"]
 
@@ -279,15 +285,16 @@ class Scorer:
             self.gates = grown
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
-            self.gates[at + i:at + i + len(part)] = self.net.project(self.net.embed(part)[2])
+            self.gates[at + i:at + i + len(part)] = self.net.project(self.net.embed(part)[3])
         self.known.update(zip(fresh, range(at, need)))
+        self.held += sum(map(len, fresh))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The largest logit over all windows of each text."""
         split = [words_of(x) for x in texts]
         wanted = set().union(*split) if split else set()
         fresh = wanted.difference(self.known)
-        if len(self.known) + len(fresh) > KEPT_WORDS:
+        if len(self.known) + len(fresh) > KEPT_WORDS or self.held > KEPT_BYTES:
             self.begin()
             fresh = wanted
         self.learn(list(fresh))
@@ -317,11 +324,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Network:
-    """Fit on a bounded sample of labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """Fit on a bounded sample of labelled rows outside the held-out fold, chosen by a hash of the id.
+
+    At most FIT_TOXIC and FIT_CLEAN labelled ids and twice as many rows (the smallest ids, where ids repeat)
+    are read, of any length; the weights are trained on those of up to FIT_CHARS characters. Null ids, null
+    labels and null or empty texts are no examples; without labels of both kinds every text is scored alike,
+    as clean where none is toxic.
+    """
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     picked = [chosen.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     ids = picked[0].union(picked[1])  # FIT_TOXIC + FIT_CLEAN rows at most
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text").between(1, SHIFT_CHARS)).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (FIT_TOXIC + FIT_CLEAN)).toArrow()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * (FIT_TOXIC + FIT_CLEAN)).toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
@@ -331,7 +344,8 @@ _SCORERS: dict[str, Scorer] = {}
 def score_documents(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every whole text by the largest logit over all its overlapping windows.
 
-    Null and blank texts are scored as a window without words. Null and repeated ids pass through; an empty
+    Null and blank texts are scored as a window without words; very long ones take more windows, in chunks
+    of CHUNK. Null and repeated ids pass through; an empty
     table gives an empty one; other columns are ignored. Returns doc_id, held_out, score, predicted.
     """
     ship_package(docs.sparkSession)
@@ -352,7 +366,11 @@ def score_documents(docs: DataFrame, net: Network, doc_id: str = "doc_id", text:
 
 
 def keep_clean(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The rows whose text is predicted clean, all columns kept; nothing is shuffled."""
+    """The rows whose text is predicted clean, all columns kept; nothing is shuffled.
+
+    Null and blank texts are scored as a window without words; null and repeated ids, and columns of any
+    name, pass through; an empty table gives an empty one.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
