@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegraph.llm import jaccard_join, mixing, sentencepiece_codec, substring_dedup, toxicity
 from tidegraph.llm.entries import table, vocabulary
@@ -30,10 +29,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix of sources takes it."""
-    docs = docs.select(*COLUMNS)
-    taken = materialize(mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "mix-copies")
-    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).where("copies > 0")
-    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in COLUMNS])
+    return mixing.take_mix(docs.select(*COLUMNS))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
