@@ -24,9 +24,9 @@ MATCHES, MANY = 3, 24
 SHORT_LIST = 16
 #: Elements in more sets than this go to the end of the order; at most HOT_KEPT are remembered (4 bytes each).
 HOT, HOT_KEPT = 48, 262_144
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: Classes in a block, and pairs around one key that are tested in one place.
-CROWD = 512
+CROWD = 256
 #: Bytes that a counted pair costs in one list, against 8 for each element of a set.
 PAIR_BYTES = 24
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -159,7 +159,7 @@ def frequent_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[i
                 small[len(u) if len(u) < MANY else 0] += 1
                 held.append((u >> np.uint64(32)).astype(np.uint32))
                 size += len(u)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush()
         if held:
             yield flush()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ HASHES, AGREE = 5, 2
 PERCENT = 75
 GRID = 64
 BUCKET_BYTES = 24 << 20
+#: Lists of up to this many windows give all their pairs.
+SHORT_LIST = 8
 #: Pairs of equal tokens of two slices that are held at once.
 MATCHED = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -193,9 +196,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     """Passages that nearly repeat a passage of a document with a smaller id.
 
     Tokens are five-word shingles. For each of five hash functions the compact windows of a text group all
-    its subsequences by min-hash; windows of different documents with the same min-hash meet, each with the
-    first document and with the one before it, so what is made is linear in the windows however many
-    documents share a passage. For a pair of documents, stretches under windows of two hash functions or
+    its subsequences by min-hash; windows of different documents with the same min-hash meet: all pairs of
+    lists of up to SHORT_LIST windows, in longer ones each with the first document and with the one before
+    it, so what is made is linear in the windows however many documents share a passage. For a pair of documents, stretches under windows of two hash functions or
     more are candidates; the shingles there (32 bits of their hashes) are compared in windows of 50 words with Jaccard 0.75 or more.
     Copies of a whole text are found by its hash and give one passage with all their words, repeated from the
     smallest id among them; only that document's windows stand for the text, whatever the order of the rows.
@@ -267,10 +270,20 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
         sig, ids, first, last = sig[order], ids[order], first[order], last[order]
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         begin = np.flatnonzero(new)[np.cumsum(new) - 1]
-        i = np.arange(len(sig))
-        x1 = i[ids != ids[begin]]
-        x2 = i[1:][(sig[1:] == sig[:-1]) & (ids[1:] != ids[:-1]) & (i[1:] - 1 != begin[1:]) & (ids[:-1] != ids[begin[1:]])]
-        x, y = np.concatenate((x1, x2)), np.concatenate((begin[x1], x2 - 1))
+        heads = np.flatnonzero(new)
+        length = np.diff(np.append(heads, len(sig)))
+        i = np.flatnonzero(np.repeat(length > SHORT_LIST, length))
+        x1 = i[ids[i] != ids[begin[i]]]
+        x2 = i[i > begin[i]]
+        x2 = x2[(ids[x2] != ids[x2 - 1]) & (x2 - 1 != begin[x2]) & (ids[x2 - 1] != ids[begin[x2]])]
+        xs, ys = [x1, x2], [begin[x1], x2 - 1]
+        for n in range(2, SHORT_LIST + 1):
+            at = heads[length == n]
+            for p, q in combinations(range(n), 2) if len(at) else ():
+                own = at[ids[at + p] != ids[at + q]]
+                xs.append(own + q)
+                ys.append(own + p)
+        x, y = np.concatenate(xs), np.concatenate(ys)
         f = (sig[x] & np.uint64(7)).astype(np.int64)
         return pa.table([pa.array(np.full(len(x), 1, np.int64)), *map(pa.array, (ids[x], ids[y], f, first[x], last[x], first[y], last[y]))], names)
 
