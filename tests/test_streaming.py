@@ -66,3 +66,11 @@ def test_scalar_checks(spark):
     for bad in (lambda: clamp_k(1001), lambda: require_model_kind(2), lambda: require_features(["age"], {"age"})):
         with pytest.raises(InvalidRequest):
             bad()
+
+
+def test_outcomes_live_a_day_from_their_last_run(spark):
+    hour = 3600 * 1_000_000
+    rows = [("a", i, h * hour) for i, h in enumerate([0, 24, 47, 49])] + [("b", 9, 5), ("c", 7, 0), ("c", 8, 0)]
+    df = spark.createDataFrame(rows, "request_id string, n int, created_us long")
+    got = {(r.request_id, r.n): r.replayed for r in ordering.first_requests(df, id="n").collect()}
+    assert got == {("a", 0): False, ("a", 1): True, ("a", 2): False, ("a", 3): True, ("b", 9): False, ("c", 7): False, ("c", 8): True}

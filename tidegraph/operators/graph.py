@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import Unavailable
 from .temporal import oriented
 
 # fixed values: largest hops, nodes, edges, fan-out and expanded nodes
@@ -17,10 +18,12 @@ MAX_HOPS, MAX_NODES, MAX_EDGES, MAX_FAN_OUT, MAX_EXPANDED = 4, 10_000, 50_000, 5
 
 
 def persisted(df: DataFrame, tag: str) -> DataFrame:
-    """A table in the session's shared checkpoint folder; lineage ends there."""
+    """A table in the session's shared checkpoint folder (in local mode one of our own); lineage ends there."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise Unavailable("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = os.path.join(root, f"graph-{tag}-{uuid.uuid4().hex}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import analytics, embedding, graph, similarity, temporal
+from ..operators import analytics, embedding, etl, graph, ranks, similarity, temporal
 from ..schema import EDGE_TYPES, NODE_TYPES, edge_type_name, micros, timestamp_allowed, valid_name
 from ..sources import driver_tables as d
 from ..streaming import ordering
@@ -178,9 +178,9 @@ def t10_edge_as_of(spark, sf):
     return temporal.as_of(d.event_edges(spark, sf).where("src = 3 and dst = 100004"), temporal.EDGE_KEY, T_E).select("src", "edge_type", "dst", "ts")
 
 
-@query(f"WITH {EV} SELECT src, edge_type, dst, ts, deleted FROM ev WHERE ts BETWEEN {T_LOW} AND {T_E} AND src < 40")
+@query(f"WITH {EV} SELECT src, edge_type, dst, ts, deleted FROM ev WHERE ts BETWEEN {T_LOW} AND {T_E}")
 def t11_edge_versions_between(spark, sf):
-    return temporal.versions_between(d.event_edges(spark, sf), T_LOW, T_E).where("src < 40").select("src", "edge_type", "dst", "ts", "deleted")
+    return temporal.versions_between(d.event_edges(spark, sf), T_LOW, T_E).select("src", "edge_type", "dst", "ts", "deleted")
 
 
 @query(f"WITH {NODES} SELECT node_id, ts, deleted FROM nodes WHERE ts BETWEEN {T_G - 90 * 86_400_000_000} AND {T_G}")
@@ -270,9 +270,10 @@ def p11_tokens(spark, sf):
     return d.table(spark, sf, "customer").withColumn("h", F.sha2(F.col("c_custkey").cast("string"), 256)).join(tokens, "h").where(F.lit(T_E) < F.col("until")).select("c_custkey")
 
 
-@query("SELECT event_id FROM events WHERE event_type IS NOT NULL AND trim(event_type) NOT IN ('?', '', 'None', 'NULL', 'Unknown/Invalid')")
+@query("SELECT event_id FROM events WHERE event_id % 8 IN (6, 7)")
 def p13_present(spark, sf):
-    return d.table(spark, sf, "events").where(fx.present(F.col("event_type"))).select("event_id")
+    spelled = F.element_at(F.array(*map(F.lit, ["?", "", " None ", "NULL", "Unknown/Invalid", None, "none", " x "])), (F.col("event_id") % 8 + 1).cast("int"))
+    return d.table(spark, sf, "events").where(fx.present(spelled)).select("event_id")
 
 
 @query(f"{LIVE_E} SELECT src, edge_type, count(*) AS n, string_agg(dst, ',' ORDER BY dst) AS targets FROM live GROUP BY src, edge_type")
@@ -300,22 +301,22 @@ def r04_snapshot(spark, sf):
 
 
 @query(f"""{LIVE_E}, s AS (SELECT src AS a, dst AS b FROM live WHERE edge_type IN (1, 3) UNION SELECT dst, src FROM live WHERE edge_type IN (1, 3)),
-h0 AS (SELECT DISTINCT user_id AS request, user_id AS node, 0 AS hops FROM events WHERE user_id < 12),
+h0 AS (SELECT DISTINCT user_id AS request, user_id AS node, 0 AS hops FROM events WHERE user_id % 20 = 0),
 h1 AS (SELECT DISTINCT request, b AS node, 1 AS hops FROM h0 JOIN s ON a = node), r1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
 h2 AS (SELECT DISTINCT h1.request, b AS node, 2 AS hops FROM h1 JOIN s ON a = node WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.request = h1.request AND r1.node = b))
 SELECT * FROM r1 UNION ALL SELECT * FROM h2""")
 def r01_traverse(spark, sf):
-    starts = d.table(spark, sf, "events").where("user_id < 12").select(F.col("user_id").alias("request"), F.col("user_id").alias("node")).distinct()
+    starts = d.table(spark, sf, "events").where("user_id % 20 = 0").select(F.col("user_id").alias("request"), F.col("user_id").alias("node")).distinct()
     return graph.traverse_set(live_events(spark, sf), starts, 2, types=[3, 1])
 
 
 @query(f"""{LIVE_E}, s AS (SELECT src AS a, dst AS b FROM live WHERE edge_type = 2 UNION SELECT dst, src FROM live WHERE edge_type = 2),
-one AS (SELECT DISTINCT a AS request, b AS node FROM s WHERE a < 20),
+one AS (SELECT DISTINCT a AS request, b AS node FROM s WHERE a % 20 = 0),
 two AS (SELECT request, b AS node FROM one JOIN s ON a = node)
 SELECT request, node FROM one UNION SELECT request, node FROM two WHERE node <> request""")
 def r06_two_hops(spark, sf):
     live = live_events(spark, sf).where("edge_type = 2")
-    starts = live.where("src < 20").select(F.col("src").alias("request"), F.col("src").alias("node")).distinct()
+    starts = live.where("src % 20 = 0").select(F.col("src").alias("request"), F.col("src").alias("node")).distinct()
     return graph.reach_two(live, starts)
 
 
@@ -338,11 +339,11 @@ def r03_truncation(spark, sf):
 # similarity
 
 
-@query(f"""WITH {EMB}, {_state(20, 's')}, x AS (SELECT q.node_id AS query, c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM s c JOIN s q USING (model_id) WHERE q.node_id % 50 = 0 AND c.node_id <> q.node_id)
+@query(f"""WITH {EMB}, {_state(20, 's')}, x AS (SELECT q.node_id AS query, c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM s c JOIN s q USING (model_id) WHERE q.node_id % 20 = 0 AND c.node_id <> q.node_id)
 SELECT query, node, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS place FROM x) WHERE place <= 10""")
 def v03_top_similar(spark, sf):
     v = d.embedding_versions(spark, sf)
-    return similarity.top_similar(v, v.where("node_id % 50 = 0").select("node_id").distinct(), 20)
+    return similarity.top_similar(v, v.where("node_id % 20 = 0").select("node_id").distinct(), 20)
 
 
 @query(f"""WITH {EMB}, {_state(20, 's')}, x AS (SELECT c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM s c JOIN s q USING (model_id) WHERE q.node_id = 4 AND c.node_id <> 4)
@@ -353,15 +354,15 @@ def v01_similar_nodes(spark, sf):
 
 
 @query(f"""WITH {EMB}, {_state(10, 'a')}, {_state(20, 'b')},
-xa AS (SELECT q.node_id AS query, c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM a c JOIN a q USING (model_id) WHERE q.node_id % 60 = 1 AND c.node_id <> q.node_id),
-xb AS (SELECT q.node_id AS query, c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM b c JOIN b q USING (model_id) WHERE q.node_id % 60 = 1 AND c.node_id <> q.node_id),
+xa AS (SELECT q.node_id AS query, c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM a c JOIN a q USING (model_id) WHERE q.node_id % 20 = 0 AND c.node_id <> q.node_id),
+xb AS (SELECT q.node_id AS query, c.node_id AS node, {COS.format('c.vector', 'q.vector')} AS score FROM b c JOIN b q USING (model_id) WHERE q.node_id % 20 = 0 AND c.node_id <> q.node_id),
 known AS (SELECT node_id FROM a SEMI JOIN b USING (node_id)),
 j AS (SELECT coalesce(xa.query, xb.query) AS query, coalesce(xa.node, xb.node) AS node, xa.score AS sa, xb.score AS sb FROM xa FULL JOIN xb ON xa.query = xb.query AND xa.node = xb.node),
 k AS (SELECT query, node, coalesce(sa, 0) AS before, coalesce(sb, 0) AS after, CASE WHEN sa IS NULL OR sb IS NULL THEN 0 ELSE round(sb - sa, 6) END AS delta, sa IS NOT NULL AND sb IS NOT NULL AS two_sided FROM j SEMI JOIN known ON query = node_id)
 SELECT query, node, before, after, delta, two_sided, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY abs(delta) DESC, node) AS place FROM k WHERE NOT two_sided OR abs(delta) >= 0.05) WHERE place <= 10""")
 def v02_similarity_delta(spark, sf):
     v = d.embedding_versions(spark, sf)
-    return similarity.similarity_delta(v, v.where("node_id % 60 = 1").select("node_id").distinct(), 10, 20, 0.05)
+    return similarity.similarity_delta(v, v.where("node_id % 20 = 0").select("node_id").distinct(), 10, 20, 0.05)
 
 
 @query("SELECT label, round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS longest FROM embeddings GROUP BY label")
@@ -400,10 +401,10 @@ def u06_intersection(spark, sf):
     return e.where("event_type = 'click'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
 
 
-@query(f"WITH {EV} SELECT DISTINCT r.seq AS request FROM ev r JOIN (SELECT src AS node, seq FROM ev UNION ALL SELECT dst, seq FROM ev) c ON c.node = r.src AND c.seq > r.seq + 100 WHERE r.seq % 97 = 0")
+@query(f"WITH {EV} SELECT DISTINCT r.seq AS request FROM ev r JOIN (SELECT src AS node, seq FROM ev UNION ALL SELECT dst, seq FROM ev) c ON c.node = r.src AND c.seq > r.seq + 100")
 def j10_conflicts(spark, sf):
     ev = d.event_edges(spark, sf)
-    reads = ev.where("seq % 97 = 0").select(F.col("seq").alias("request"), F.col("src").alias("node"), (F.col("seq") + 100).alias("since"))
+    reads = ev.select(F.col("seq").alias("request"), F.col("src").alias("node"), (F.col("seq") + 100).alias("since"))
     return ordering.conflicts(reads, ev)
 
 
@@ -557,17 +558,19 @@ def w05_dense_ids(spark, sf):
     return dense_ids(d.table(spark, sf, "part"), "p_brand", "p_partkey", "Medication")
 
 
-@query("SELECT event_id, quantile_disc(value, 0.95) OVER (PARTITION BY user_id ORDER BY event_id ROWS 63 PRECEDING) AS p95 FROM events WHERE user_id < 10")
+@query("SELECT event_id, quantile_disc(value, 0.95) OVER (PARTITION BY user_id ORDER BY event_id ROWS 63 PRECEDING) AS p95 FROM events")
 def w08_rolling_p95(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-63, 0)
-    e = d.table(spark, sf, "events").where("user_id < 10").withColumn("s", F.array_sort(F.collect_list("value").over(w)))
+    e = d.table(spark, sf, "events").withColumn("s", F.array_sort(F.collect_list("value").over(w)))
     return e.select("event_id", F.element_at("s", F.ceil(F.size("s") * F.lit(95) / F.lit(100)).cast("int")).alias("p95"))
 
 
 @query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= 0.7 * count(*) OVER () THEN 'train' ELSE 'test' END AS part FROM orders")
 def w09_time_split(spark, sf):
-    o = d.table(spark, sf, "orders").withColumns({"r": F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")), "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    return o.select("o_orderkey", F.when(F.col("r") <= F.lit(0.7) * F.col("n"), "train").otherwise("test").alias("part"))
+    o = d.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    n = o.agg(F.count(F.lit(1)).alias("n"))
+    placed = ranks.global_rank(o, ["o_orderdate", "o_orderkey"]).crossJoin(F.broadcast(n))
+    return placed.select("o_orderkey", F.when(F.col("rank") + 1 <= F.lit(0.7) * F.col("n"), "train").otherwise("test").alias("part"))
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r % 10 = 0")
@@ -576,19 +579,57 @@ def w10_every_kth(spark, sf):
     return d.table(spark, sf, "events").withColumn("r", F.row_number().over(w)).where("r % 10 = 0").select("event_id")
 
 
+# encounters: orders seen as encounter rows
+
+
+EMITTED = """o AS (SELECT o_orderkey AS e, o_custkey::VARCHAR AS p, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, o_orderpriority AS d1, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS d2,
+    CASE WHEN o_orderkey % 3 > 0 THEN 'S' || (o_orderkey % 7) END AS s, CASE WHEN o_orderkey % 5 = 0 THEN 'A1Cresult=>8' END AS l,
+    list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'metformin' END, CASE WHEN o_orderkey % 3 = 1 THEN 'insulin' END, CASE WHEN o_orderkey % 5 < 2 THEN 'acarbose' END], lambda x: x IS NOT NULL) AS now FROM orders),
+g AS (SELECT *, list_sort(list_filter(coalesce(lag(now) OVER (PARTITION BY p ORDER BY r), []), lambda x: NOT list_contains(now, x))) AS gone FROM o),
+i AS (SELECT p, r, list_concat(list_filter([{'k': 6, 't': 'Encounter', 'key': e::VARCHAR, 'd': false}, {'k': 1, 't': 'Condition', 'key': d1, 'd': false}, {'k': 1, 't': 'Condition', 'key': d2, 'd': false},
+    {'k': 4, 't': 'Provider', 'key': s, 'd': false}, {'k': 5, 't': 'LabResult', 'key': l, 'd': false}], lambda x: x.key IS NOT NULL),
+    list_transform(now, lambda x: {'k': 2, 't': 'Medication', 'key': x, 'd': false}), list_transform(gone, lambda x: {'k': 2, 't': 'Medication', 'key': x, 'd': true})) AS items FROM g),
+u AS (SELECT p, 1000 + r * 1000 + pos AS ts, x.k AS k, x.t AS t, x.key AS key, x.d AS d FROM (SELECT p, r, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM i)),
+seen AS (SELECT t, key, min(ts) AS ts FROM u GROUP BY ALL UNION ALL SELECT 'Patient', p, min(1000 + r * 1000) FROM o GROUP BY p),
+ids AS (SELECT t, key, ts, CASE t WHEN 'Patient' THEN 1 WHEN 'Condition' THEN 100000 WHEN 'Medication' THEN 200000 WHEN 'Provider' THEN 400000 WHEN 'LabResult' THEN 500000 ELSE 600000 END + row_number() OVER (PARTITION BY t ORDER BY ts) - 1 AS id FROM seen)"""
+
+
+def _encounters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col("o_orderkey")
+    rows = d.table(spark, sf, "orders").select(
+        key.alias("encounter_id"), F.col("o_custkey").alias("patient_nbr"), F.col("o_orderpriority").alias("diag_1"), F.when(key % 4 > 0, F.col("o_orderstatus")).otherwise("?").alias("diag_2"), F.lit(None).cast("string").alias("diag_3"),
+        F.when(key % 3 > 0, F.concat(F.lit("S"), key % 7)).otherwise("Unknown/Invalid").alias("medical_specialty"), F.lit("None").alias("max_glu_serum"), F.when(key % 5 == 0, ">8").otherwise("None").alias("A1Cresult"),
+        F.when(key % 2 == 0, "Steady").otherwise("No").alias("metformin"), F.when(key % 3 == 1, "Up").otherwise("No").alias("insulin"), F.when(key % 5 < 2, "Down").otherwise("No").alias("acarbose"),
+    )
+    return etl.emit(rows, ["metformin", "insulin", "acarbose"], 1000, 1000)
+
+
+@query(f"WITH {EMITTED} SELECT a.id AS src, k AS edge_type, b.id AS dst, u.ts, d AS deleted FROM u JOIN ids a ON a.t = 'Patient' AND a.key = p JOIN ids b ON b.t = u.t AND b.key = u.key")
+def a09_emit_edges(spark, sf):
+    return _encounters(spark, sf)[1].select("src", "edge_type", "dst", "ts", "deleted")
+
+
+@query(f"WITH {EMITTED} SELECT id AS node_id, CASE t WHEN 'Patient' THEN ts WHEN 'Encounter' THEN ts - 1 ELSE 1000 END AS ts, t AS node_type FROM ids")
+def e01_emit_nodes(spark, sf):
+    return _encounters(spark, sf)[0].select("node_id", "ts", "node_type")
+
+
 # scalars
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM embeddings")
+@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) END AS score FROM embeddings")
 def f01_cosine_zero(spark, sf):
     e = d.table(spark, sf, "embeddings")
-    other = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0))).otherwise(F.col("embedding").cast("array<double>"))
+    other = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0))).otherwise(F.reverse(F.col("embedding").cast("array<double>")))
     return e.select("vec_id", F.round(similarity.cosine(F.col("embedding"), other), 6).alias("score"))
 
 
-@query("SELECT event_id, 1 AS depth FROM events")
+@query("SELECT event_id, (event_id % 40 + 2)::INT AS depth FROM events")
 def f02_json_depth(spark, sf):
-    return d.table(spark, sf, "events").select("event_id", fx.json_depth("props").alias("depth"))
+    # props nested in event_id % 40 + 1 lists beside a string of brackets, which do not count
+    n = (F.col("event_id") % 40 + 1).cast("int")
+    nested = F.concat(F.expr("repeat('[', cast(event_id % 40 + 1 as int))"), F.lit('"[[{", '), F.col("props"), F.repeat(F.lit("]"), n))
+    return d.table(spark, sf, "events").select("event_id", fx.json_depth(nested).alias("depth"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
@@ -682,29 +723,29 @@ def n06_updates_since(spark, sf):
 # embeddings and repairs
 
 
-@query(f"""{LIVE_E}, near AS (SELECT src AS node, dst AS other FROM live UNION SELECT dst, src FROM live), m AS (SELECT seq AS request, src, dst FROM ev WHERE seq % 500 = 3),
+@query(f"""{LIVE_E}, near AS (SELECT src AS node, dst AS other FROM live UNION SELECT dst, src FROM live), m AS (SELECT seq AS request, src, dst FROM ev WHERE seq % 20 = 0),
 ends AS (SELECT request, src AS node FROM m UNION SELECT request, dst FROM m)
 SELECT request, node, 'affected' AS state FROM ends UNION SELECT request, other, 'affected' FROM ends JOIN near USING (node)""")
 def m01_affected(spark, sf):
-    m = d.event_edges(spark, sf).where("seq % 500 = 3").select(F.col("seq").alias("request"), "src", "dst")
+    m = d.event_edges(spark, sf).where("seq % 20 = 0").select(F.col("seq").alias("request"), "src", "dst")
     return embedding.affected(live_events(spark, sf), m, cap=1_000_000)
 
 
-@query(f"""{LIVE_E}, near AS (SELECT src AS node, dst AS other FROM live UNION SELECT dst, src FROM live), hubs AS (SELECT node FROM near GROUP BY node HAVING count(*) > 60), m AS (SELECT seq AS request, src, dst FROM ev WHERE seq % 500 = 3),
+@query(f"""{LIVE_E}, near AS (SELECT src AS node, dst AS other FROM live UNION SELECT dst, src FROM live), hubs AS (SELECT node FROM near GROUP BY node HAVING count(*) > 60), m AS (SELECT seq AS request, src, dst FROM ev WHERE seq % 20 = 0),
 ends AS (SELECT request, src AS node FROM m UNION SELECT request, dst FROM m),
 wide AS (SELECT request, node FROM ends UNION SELECT request, other FROM (ends ANTI JOIN hubs USING (node)) JOIN near USING (node)),
 now AS (SELECT request, node FROM wide ANTI JOIN hubs USING (node)),
 late AS (SELECT request, other AS node FROM (ends SEMI JOIN hubs USING (node)) JOIN near USING (node) UNION SELECT request, node FROM wide SEMI JOIN hubs USING (node))
 SELECT request, node, 'affected' AS state FROM now UNION ALL SELECT request, node, 'deferred' FROM late ANTI JOIN now USING (request, node)""")
 def m03_hub_deferral(spark, sf):
-    m = d.event_edges(spark, sf).where("seq % 500 = 3").select(F.col("seq").alias("request"), "src", "dst")
+    m = d.event_edges(spark, sf).where("seq % 20 = 0").select(F.col("seq").alias("request"), "src", "dst")
     return embedding.affected(live_events(spark, sf), m, cap=1_000_000, hub_degree=60)
 
 
 @query()
 def m06_embed_targets(spark, sf):
     live = live_events(spark, sf)
-    targets = live.where("src < 6").select(F.col("src").alias("request"), F.col("src").alias("node")).distinct()
+    targets = live.where("src % 20 = 0").select(F.col("src").alias("request"), F.col("src").alias("node")).distinct()
     edges = embedding.receptive_edges(live, targets, cap=64, budget=200)
     nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
     x = nodes.withColumn("x", F.array(*[F.when(F.col("node") % 3 == i, 1.0).otherwise(0.0) for i in range(3)]))
@@ -736,12 +777,13 @@ def c01_admission(spark, sf):
     return ordering.admitted(e).select("event_id", "ok")
 
 
-@query("""WITH r AS (SELECT event_id, (event_id % 900)::VARCHAR AS request_id, epoch_us(ts) AS t FROM events),
-f AS (SELECT *, floor((t - min(t) OVER (PARTITION BY request_id)) / 86400000000.0) AS span FROM r)
-SELECT event_id, row_number() OVER (PARTITION BY request_id, span ORDER BY t) > 1 AS replayed FROM f""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, event_id % 900 AS r, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_id % 900 ORDER BY epoch_us(ts), event_id) AS i FROM events),
+f AS (SELECT event_id, r, i, t AS stored, false AS replayed FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.r, e.i, CASE WHEN e.t - f.stored <= 86400000000 THEN f.stored ELSE e.t END, e.t - f.stored <= 86400000000 FROM f JOIN e ON e.r = f.r AND e.i = f.i + 1)
+SELECT event_id, replayed FROM f""")
 def c04_idempotency(spark, sf):
     r = d.table(spark, sf, "events").select("event_id", (F.col("event_id") % 900).cast("string").alias("request_id"), micros("ts").alias("created_us"))
-    return ordering.first_requests(r).select("event_id", "replayed")
+    return ordering.first_requests(r, id="event_id").select("event_id", "replayed")
 
 
 @query()
@@ -756,12 +798,17 @@ def c06_token_bucket(spark, sf):
     return ordering.token_bucket(calls, 0.0001, 3)
 
 
-@query("SELECT event_id FROM events WHERE event_id IS NULL")
+@query("""WITH c AS (SELECT user_id % 20 AS chain, event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
+kept AS (SELECT *, lag(i) OVER (PARTITION BY chain ORDER BY i) AS before FROM c WHERE event_id % 101 <> 5)
+SELECT event_id FROM kept WHERE event_id % 50 = 7 OR i <> coalesce(before, 0) + 1""")
 def c08_audit_verify(spark, sf):
     records = d.table(spark, sf, "events").select((F.col("user_id") % 20).cast("string").alias("chain"), F.col("event_id"), "event_type")
     w = Window.partitionBy("chain").orderBy("event_id")
-    linked = ordering.append_audit(records.withColumn("seq", F.row_number().over(w).cast("long")), ["chain", "seq", "prev_hash", "event_id", "event_type"])
-    return ordering.audit_failures(linked, ["chain", "seq", "prev_hash", "event_id", "event_type"]).select("event_id")
+    fields = ["chain", "seq", "prev_hash", "event_id", "event_type"]
+    linked = ordering.append_audit(records.withColumn("seq", F.row_number().over(w).cast("long")), fields)
+    # some records are edited after they were linked, others are lost
+    forged = linked.withColumn("event_type", F.when(F.col("event_id") % 50 == 7, "forged").otherwise(F.col("event_type"))).where("event_id % 101 <> 5")
+    return ordering.audit_failures(forged, fields).select("event_id")
 
 
 @query("""SELECT replica, a AS after, b AS before FROM (SELECT user_id % 4 AS replica, lag(event_id) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS a, event_id AS b FROM events) WHERE b > a + 1""")

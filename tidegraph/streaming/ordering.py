@@ -25,14 +25,28 @@ def admitted(mutations: DataFrame, arrival: str = "arrival", ts: str = "ts", mar
     return mutations.withColumn("ok", F.col(ts) > F.greatest(F.coalesce(F.max(ts).over(w), F.lit(mark)), F.lit(mark)))
 
 
-def first_requests(requests: DataFrame, request: str = "request_id", created: str = "created_us", ttl_us: int = 24 * 3600 * 1_000_000) -> DataFrame:
-    """Rows with ``replayed``: a request seen within the time to live of its stored outcome is not run again.
+def first_requests(requests: DataFrame, request: str = "request_id", created: str = "created_us", ttl_us: int = 24 * 3600 * 1_000_000, id: str | None = None) -> DataFrame:
+    """Rows with ``replayed``: a request no older than the time to live after its stored outcome is not run again.
 
-    Exact where repeats fall within one time to live of the first; later ones begin a new span.
+    One that runs stores its outcome anew, so each request is a fold in order of ``created`` (then ``id``).
+    Requests with a single row, or all within one time to live of their first, need no fold.
     """
-    w = Window.partitionBy(request).orderBy(created)
-    first = F.first(created).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return requests.withColumn("_span", F.floor((F.col(created) - first) / F.lit(ttl_us))).withColumn("replayed", F.row_number().over(Window.partitionBy(request, "_span").orderBy(created)) > 1).drop("_span")
+    order = [created, *([id] if id else [])]
+    w = Window.partitionBy(request)
+    first, age = F.min(created).over(w), F.max(created).over(w) - F.min(created).over(w)
+    marked = requests.withColumns({"_rank": F.row_number().over(w.orderBy(*order)), "_age": age, "_first": first})
+    short = marked.where(F.col("_age") <= ttl_us).withColumn("replayed", F.col("_rank") > 1).drop("_rank", "_age", "_first")
+    schema = T.StructType([*requests.schema.fields, T.StructField("replayed", T.BooleanType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, stored, out = pdf.sort_values(order), None, []
+        for at in pdf[created]:
+            out.append(stored is not None and at - stored <= ttl_us)
+            stored = stored if out[-1] else at
+        return pdf.assign(replayed=out)
+
+    long = marked.where(F.col("_age") > ttl_us).drop("_rank", "_age", "_first").groupBy(request).applyInPandas(run, schema)
+    return short.union(long)
 
 
 def conflicts(reads: DataFrame, commits: DataFrame) -> DataFrame:
