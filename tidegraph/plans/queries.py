@@ -310,6 +310,11 @@ def r01_traverse(spark, sf):
     return graph.traverse_set(live_events(spark, sf), starts, 2, types=[3, 1])
 
 
+@query(SQL["r01_traverse"].replace("SELECT * FROM r1 UNION ALL SELECT * FROM h2", "SELECT request, node FROM h2"))
+def p15_nodes_at_hop(spark, sf):
+    return r01_traverse(spark, sf).where("hops = 2").select("request", "node")
+
+
 @query(f"""{LIVE_E}, s AS (SELECT src AS a, dst AS b FROM live WHERE edge_type = 2 UNION SELECT dst, src FROM live WHERE edge_type = 2),
 one AS (SELECT DISTINCT a AS request, b AS node FROM s WHERE a % 20 = 0),
 two AS (SELECT request, b AS node FROM one JOIN s ON a = node)
@@ -668,6 +673,31 @@ def f07_one_hot(spark, sf):
     return d.table(spark, sf, "events").select("event_id", x[0].alias("a"), x[1].alias("b"), x[2].alias("other"))
 
 
+SPEC = {
+    "types": NODE_TYPES,
+    "forbidden_fields": ["readmitted"],
+    "blocks": [
+        {"for": "Encounter", "kind": "numeric", "field": "k", "scale": 20},
+        {"for": "Encounter", "kind": "onehot", "field": "kind", "values": ["click", "view"]},
+        {"for": "Condition", "kind": "icd9_chapter", "field": "code", "chapters": [["a", 1, 50], ["b", 51, 120]]},
+    ],
+}
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS i, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events)
+SELECT event_id, i::INT AS place, 1.0::DOUBLE AS value FROM e
+UNION ALL SELECT event_id, 6, least(k / 20.0::DOUBLE, 1) FROM e WHERE i = 5 AND k > 0
+UNION ALL SELECT event_id, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 8 ELSE 9 END, 1 FROM e WHERE i = 5
+UNION ALL SELECT event_id, CASE WHEN event_id % 18 = 1 THEN 12 WHEN event_id % 18 = 7 THEN 13 WHEN k * 11 BETWEEN 1 AND 50 THEN 10 WHEN k * 11 BETWEEN 51 AND 120 THEN 11 ELSE 14 END, 1 FROM e WHERE i = 1 AND event_id % 54 <> 1""")
+def f08_featurize(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    at = F.col("event_id") % 18
+    code = F.when(F.col("event_id") % 54 != 1, F.when(at == 1, " v12").when(at == 7, "E8").otherwise((k * 11 + F.lit(0.5)).cast("string")))
+    kind = F.element_at(F.array(*map(F.lit, NODE_TYPES)), (F.col("event_id") % 6 + 1).cast("int"))
+    x = fx.featurize(SPEC, kind, F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("kind"), code.alias("code"))))
+    return d.table(spark, sf, "events").select("event_id", F.posexplode(x).alias("place", "value")).where("value <> 0")
+
+
 @query(f"WITH {NODES} SELECT DISTINCT node_type, " + ", ".join(f"(node_type = '{t}')::INT::DOUBLE AS x{i}" for i, t in enumerate(NODE_TYPES)) + " FROM nodes")
 def f09_type_one_hot(spark, sf):
     x = fx.type_one_hot(F.col("node_type"))
