@@ -315,6 +315,56 @@ def test_repeated_passages_do_not_depend_on_the_order_of_the_rows(spark):
         assert {(x.doc_id, x.source_id) for x in substring_dedup.repeated_passages(df).collect()} == want
 
 
+def test_links_of_contexts_equal_brute_force():
+    r = random.Random(5)
+    t, base = 46, [np.array([r.getrandbits(32) for _ in range(91)], np.uint32) for _ in range(3)]
+    tokens = []
+    for _ in range(120):
+        x = r.choice(base).copy()
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(91)
+            x[k:k + r.randint(1, 9)] = r.getrandbits(32)
+        tokens.append(x[r.randint(0, 20):r.randint(70, 91)])
+    ids = np.array(r.sample(range(1000), 120))
+    linked = {(x, y) for x in range(120) for y in range(120) if ids[x] > ids[y] and substring_dedup.matching_stretches(tokens[x], tokens[y], t)}
+    far = set(range(120)) - {x for x, _ in linked}
+    sides = np.array([r.randrange(2) for _ in range(120)])
+
+    def groups(pairs):
+        home = list(range(120))
+        for _ in range(120):
+            for x, y in pairs:
+                home[x] = home[y] = min(home[x], home[y])
+        return home
+
+    for side, true in ((np.zeros(120, int), linked), (sides, {(x, y) for x, y in linked if sides[x] != sides[y]})):
+        found = {(x, y) for x, y, _, _ in substring_dedup.context_links(ids, ids, np.zeros(120, bool), side, tokens, t)}
+        assert found <= true and {x for x, _ in found} == {x for x, _ in true} and groups(found) == groups(true)
+    assert far and len(linked) > 300
+    # settled rows are only compared with other components
+    assert not substring_dedup.context_links(ids, np.zeros(120, int), np.ones(120, bool), np.zeros(120, int), tokens, t)
+
+
+def test_windows_without_links_keep_a_list_open():
+    lists, docs = np.array([7, 7, 7, 7, 8, 8, 7, 8]), np.array([1, 2, 3, 3, 1, 2, 3, 2])
+    others, links, centres = np.array([1, 2, 3, 3, 1, 2, 1, 1]), np.array([0, 0, 0, 0, 0, 0, 1, 1], bool), np.array([5, 5, 5, 90, 5, 5, 5, 5])
+    at, comp, settled = substring_dedup.open_windows(lists, docs, others, links, centres)
+    assert sorted(zip(at.tolist(), comp.tolist(), settled.tolist())) == [(0, 1, False), (1, 2, False), (2, 1, True), (3, 1, False)]
+
+
+def test_partners_deep_in_a_long_list_are_found(spark):
+    r = random.Random(77)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    line, rows = [word() for _ in range(30)], []
+    for i in range(60):
+        # a line that all share, in passages of which only some pairs are the same
+        own = [word() for _ in range(20)] + line + [word() for _ in range(20)] if i < 40 else rows[i - 40][1]
+        rows.append((i, own, " ".join([word() for _ in range(60)] + own + [word() for _ in range(60)])))
+    df = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, text string")
+    found = {(x.doc_id, x.source_id) for x in substring_dedup.repeated_passages(df).collect()}
+    assert found == {(i, i - 40) for i in range(40, 60)}
+
+
 def test_stretches_with_repeated_lines_equal_brute_force():
     r = random.Random(31)
     t, need = 46, 40

@@ -8,11 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard_join import _dealt
-from .support import byte_groups, map_batches, materialize, partitions_for, total_bytes
+from .support import byte_groups, discard, map_batches, materialize, partitions_for, total_bytes
 from .words import SHINGLE, Words, mix
 
 #: Passages have this many words at least.
@@ -24,6 +24,8 @@ GRID = 64
 BUCKET_BYTES = 24 << 20
 #: Lists of up to this many windows give all their pairs.
 SHORT_LIST = 8
+#: Contexts of an open list in a block, and tokens counted at once there.
+CROWD, COUNTED = 1024, 4096
 #: Pairs of equal tokens of two slices that are held at once.
 MATCHED = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -192,20 +194,159 @@ def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[i
     return [(int(k[0]), int(k[-1]) + least - 1) for k in np.split(good, np.flatnonzero(np.diff(good) > least) + 1)]
 
 
+def open_windows(lists: np.ndarray, docs: np.ndarray, others: np.ndarray, links: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of the lists that verified links leave open: their rows, components and whether each is settled.
+
+    Rows with ``links`` are verified links (list, doc, smaller doc, centre of the doc's window), the rest are
+    windows. A window is settled when a link of its own leads to a smaller document of the list; a component is
+    named by its smallest document. A list is open while windows other than its smallest document's are not
+    settled.
+    """
+    own, by = np.flatnonzero(~links), np.flatnonzero(links)
+    ends = np.concatenate((own, by, by))
+    ids = np.concatenate((docs[own], docs[by], others[by]))
+    order = np.lexsort((ids, lists[ends]))
+    new = np.concatenate(([True], (lists[ends][order][1:] != lists[ends][order][:-1]) | (ids[order][1:] != ids[order][:-1])))
+    node = np.empty(len(ends), np.int64)
+    node[order] = np.cumsum(new) - 1
+    name, home = ids[order][new], lists[ends][order][new]
+    held = np.zeros(len(name), bool)
+    held[node[:len(own)]] = True
+    a, b = node[len(own):len(own) + len(by)], node[len(own) + len(by):]
+    both = held[a] & held[b]
+    a, b, by = a[both], b[both], by[both]
+    label = np.arange(len(name))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if (label == before).all():
+            break
+    # a link is of the window whose centre it holds
+    rows = np.concatenate((own, by))
+    where = np.concatenate((node[:len(own)], a))
+    order = np.lexsort((centres[rows], where))
+    new = np.concatenate(([True], (where[order][1:] != where[order][:-1]) | (centres[rows][order][1:] != centres[rows][order][:-1])))
+    window = np.empty(len(rows), np.int64)
+    window[order] = np.cumsum(new) - 1
+    linked = np.zeros(int(new.sum()), bool)
+    linked[window[len(own):]] = True
+    settled = linked[window[:len(own)]]
+    mine = node[:len(own)]
+    first = np.zeros(len(name), bool)
+    seen = np.flatnonzero(held)
+    first[seen[np.concatenate(([True], home[seen][1:] != home[seen][:-1]))]] = True
+    left = np.unique(lists[own][~settled & ~first[mine]])
+    use = np.isin(lists[own], left)
+    return own[use], name[label[mine[use]]], settled[use]
+
+
+def coded(tokens: list[np.ndarray]) -> np.ndarray:
+    """Token rows as small numbers, filled up with -1."""
+    sizes = np.array([len(x) for x in tokens])
+    out = np.full((len(tokens), int(sizes.max())), -1, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.unique(np.concatenate(tokens), return_inverse=True)[1]
+    return out
+
+
+def shared_places(codes: np.ndarray) -> np.ndarray:
+    """For each two rows x, y of ``coded`` how many places of x hold a token of y."""
+    row, at = np.nonzero(codes >= 0)
+    code = codes[row, at]
+    width = int(code.max()) + 1
+    cell, times = np.unique(row * width + code, return_counts=True)
+    row, code = cell // width, cell % width
+    common = np.bincount(code, minlength=width) >= 2
+    number = np.cumsum(common) - 1
+    row, code, times = row[common[code]], number[code[common[code]]], times[common[code]]
+    out = np.zeros((len(codes), len(codes)), np.float32)
+    order = np.argsort(code, kind="stable")
+    row, code, times = row[order], code[order], times[order]
+    for a in range(0, int(common.sum()), COUNTED):
+        part = slice(*np.searchsorted(code, [a, a + COUNTED]))
+        places = np.zeros((len(codes), COUNTED), np.float32)
+        places[row[part], code[part] - a] = times[part]
+        out += places @ (places > 0).astype(np.float32).T
+    return out
+
+
+def share_a_window(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Which rows of ``ys`` have a window of ``least`` places with ``need`` tokens of x, and x one with theirs."""
+    _, number = np.unique(x, return_inverse=True)
+    to = np.full(int(max(x.max(), ys.max())) + 2, number.max() + 1)
+    to[x] = number
+    to[-1] = number.max() + 1
+    meet = to[ys]
+    in_y = meet <= number.max()
+    held = np.zeros((len(ys), int(number.max()) + 2), bool)
+    held[np.arange(len(ys))[:, None], meet] = True
+    out = np.ones(len(ys), bool)
+    for hit in (in_y, held[:, number]):
+        total = np.concatenate((np.zeros((len(ys), 1), np.int64), np.cumsum(hit, axis=1)), axis=1)
+        out &= (total[:, least:] - total[:, :-least]).max(axis=1, initial=0) >= need
+    return out
+
+
+def context_links(ids: np.ndarray, comps: np.ndarray, settled: np.ndarray, sides: np.ndarray, tokens: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
+    """Verified links between the contexts of one list: rows x, y and the stretch of x, x of the larger document.
+
+    Contexts on different sides are compared, or all where there is one side. Each with all of smaller documents
+    as long as it is not settled, after that with those of other components; links found here count too.
+    """
+    need = -(-2 * PERCENT * least // (100 + PERCENT))
+    codes = coded(tokens)
+    places = shared_places(codes)
+    near = (places >= need) & (places.T >= need) & (ids[:, None] > ids[None, :])
+    if sides.min() != sides.max():
+        near &= sides[:, None] != sides[None, :]
+    comps, out = comps.copy(), []
+    for x in np.argsort(ids, kind="stable").tolist():
+        done = bool(settled[x])
+        ys = np.flatnonzero(near[x] & (comps != comps[x]) if done else near[x])
+        if len(ys):
+            ys = ys[share_a_window(codes[x][:len(tokens[x])], codes[ys], least, need)]
+        for y in ys[np.argsort(ids[ys], kind="stable")].tolist():
+            if done and comps[x] == comps[y]:
+                continue
+            stretches = matching_stretches(tokens[x], tokens[y], least)
+            if stretches:
+                out += [(x, y, a, b) for a, b in stretches]
+                done = True
+                comps[comps == max(comps[x], comps[y])] = min(comps[x], comps[y])
+    return out
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """Passages of a document and source joined where they overlap."""
+    pair = Window.partitionBy("doc_id", "source_id").orderBy("begin_word", "end_word")
+    reach = F.max("end_word").over(pair.rowsBetween(Window.unboundedPreceding, -1))
+    begun = found.withColumn("begun", F.when(F.col("begin_word") < reach, 0).otherwise(1))
+    numbered = begun.withColumn("passage", F.sum("begun").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "source_id", "passage").agg(F.min("begin_word").alias("begin_word"), F.max("end_word").alias("end_word")).drop("passage")
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages that nearly repeat a passage of a document with a smaller id.
 
     Tokens are five-word shingles. For each of five hash functions the compact windows of a text group all
     its subsequences by min-hash; windows of different documents with the same min-hash meet: all pairs of
-    lists of up to SHORT_LIST windows, in longer ones each with the first document and with the one before
-    it, so what is made is linear in the windows however many documents share a passage. For a pair of documents, stretches under windows of two hash functions or
-    more are candidates; the shingles there (32 bits of their hashes) are compared in windows of 50 words with Jaccard 0.75 or more.
+    lists of up to SHORT_LIST windows, in longer ones first each with the first document and with the one before
+    it. For a pair of documents, stretches under windows of two hash functions or more are candidates; the
+    shingles there (32 bits of their hashes) are compared in windows of 50 words with Jaccard 0.75 or more.
+    Longer lists in which this left a window without a link to a smaller document are open: there the contexts
+    of the windows (the places that a passage of the least width around the centre can reach, equal contexts
+    once) are compared in blocks, each with those of all smaller documents until it has a link, and with those
+    of other components of the list whether it has one or not. So links left out lie inside a component of a
+    list, of windows that have a link to a smaller document already.
     Copies of a whole text are found by its hash and give one passage with all their words, repeated from the
     smallest id among them; only that document's windows stand for the text, whatever the order of the rows.
 
     Nulls: null and short texts have no passages, rows without an id are left out. Rows with the same id are
     one document. An empty table gives an empty result; other columns are ignored.
-    Returns doc_id, source_id (the other document), begin_word, end_word (exclusive).
+    Returns doc_id, source_id (the other document), begin_word, end_word (exclusive); passages of a pair don't overlap.
     """
     docs = docs.selectExpr(f"cast({doc_id} as long) as doc_id", f"{text} as text").where("doc_id is not null")
     t = least_words - SHINGLE + 1
@@ -223,13 +364,13 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
             nonlocal held, told
             rows = []
             if held:
-                sig, ids, first, last = (np.concatenate([x[i] for x in held]) for i in range(4))
-                rows = [(i, *x) for i, x in _dealt(buckets, sig, sig, ids, first.astype(np.int32), last.astype(np.int32))]
+                sig, ids, *places = (np.concatenate([x[i] for x in held]) for i in range(5))
+                rows = [(i, *x) for i, x in _dealt(buckets, sig, sig, ids, *(x.astype(np.int32) for x in places))]
             if told:
                 ids, keys, n = (np.array([x[i] for x in told], np.int64) for i in range(3))
-                rows += [(-1 - i, *x) for i, x in _dealt(buckets, keys.view(np.uint64), keys, ids, n.astype(np.int32), n.astype(np.int32))]
+                rows += [(-1 - i, *x) for i, x in _dealt(buckets, keys.view(np.uint64), keys, ids, *[n.astype(np.int32)] * 3)]
             held, told = [], []
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3, 4)]], ["bucket", "sigs", "ids", "firsts", "lasts"])
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6)]], ["bucket", "sigs", "ids", "firsts", "lasts", "centres"])
 
         size = 0
         for batch in batches:
@@ -249,7 +390,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                     c, first, last = compact_windows(s, offsets, t, h)
                     at = np.searchsorted(offsets, c, side="right") - 1
                     sig = (mix(s[c] ^ (_STEP * np.array([h + 1], np.uint64))) & ~np.uint64(7)) | np.uint64(h)
-                    held.append((sig, own[at], first - offsets[at], last - offsets[at]))
+                    held.append((sig, own[at], first - offsets[at], last - offsets[at], c - offsets[at]))
                     size += len(c)
                 if size > 1_000_000:
                     yield flush()
@@ -266,13 +407,15 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
         if table.column("bucket")[0].as_py() < 0:
             # lengths of whole texts, by text key
             return pa.table([pa.array(np.full(len(ids), 0, np.int64)), *map(pa.array, (ids, ids, sig.view(np.int64), first, last, first, last))], names)
+        centre = whole(table, "centres", np.int32).astype(np.int64)
         order = np.lexsort((first, ids, sig))
-        sig, ids, first, last = sig[order], ids[order], first[order], last[order]
+        sig, ids, first, last, centre = (x[order] for x in (sig, ids, first, last, centre))
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         begin = np.flatnonzero(new)[np.cumsum(new) - 1]
         heads = np.flatnonzero(new)
         length = np.diff(np.append(heads, len(sig)))
-        i = np.flatnonzero(np.repeat(length > SHORT_LIST, length))
+        ends = heads + length - 1
+        i = np.flatnonzero(np.repeat((length > SHORT_LIST) & (ids[heads] != ids[ends]), length))
         x1 = i[ids[i] != ids[begin[i]]]
         x2 = i[i > begin[i]]
         x2 = x2[(ids[x2] != ids[x2 - 1]) & (x2 - 1 != begin[x2]) & (ids[x2 - 1] != ids[begin[x2]])]
@@ -285,10 +428,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                 ys.append(own + p)
         x, y = np.concatenate(xs), np.concatenate(ys)
         f = (sig[x] & np.uint64(7)).astype(np.int64)
-        return pa.table([pa.array(np.full(len(x), 1, np.int64)), *map(pa.array, (ids[x], ids[y], f, first[x], last[x], first[y], last[y]))], names)
+        met = pa.table([pa.array(np.full(len(x), 1, np.int64)), *map(pa.array, (ids[x], ids[y], f, first[x], last[x], first[y], last[y]))], names)
+        # windows of longer lists: the list, and what a passage of the least width around the centre can reach
+        c = centre[i]
+        lo, hi = np.maximum(first[i], c - t + 1), np.minimum(last[i], c + t - 1)
+        return pa.concat_tables([met, pa.table([pa.array(np.full(len(i), 2, np.int64)), *map(pa.array, (ids[i], sig[i].view(np.int64), c, lo, hi, lo, hi))], names)])
 
     schema = ", ".join(f"{c} long" for c in names)
-    blobs = map_batches(unique, windows, "bucket int, sigs binary, ids binary, firsts binary, lasts binary")
+    blobs = map_batches(unique, windows, "bucket int, sigs binary, ids binary, firsts binary, lasts binary, centres binary")
     met = materialize(blobs.groupBy("bucket").applyInArrow(meet, schema), "passage-meetings")
 
     def join_intervals(table: pa.Table) -> pa.Table:
@@ -333,11 +480,79 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "source_id", "begin_word", "end_word"])
 
-    found = map_batches(both, check, "doc_id long, source_id long, begin_word long, end_word long")
+    found = materialize(map_batches(both, check, "doc_id long, source_id long, begin_word long, end_word long"), "passage-found")
+    discard(candidates, cut)
+    more = _open_links(docs, met.where("kind = 2").select(F.col("other").alias("list"), "doc", F.col("f").alias("centre"), F.col("first").alias("lo"), F.col("last").alias("hi")), found, t, buckets)
     lengths = met.where("kind = 0").select(F.col("f").alias("h"), F.col("doc").alias("source_id"), F.col("last").alias("end_word"))
     several = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("top")).where("top > source_id").join(lengths, ["h", "source_id"])
     copies = keyed.select("doc_id", "h", "g").join(several, ["h", "g"]).where("doc_id > source_id").select("doc_id", "source_id", F.lit(0).cast("long").alias("begin_word"), "end_word")
-    return found.union(copies).distinct()
+    return merged(found.union(more)).union(copies).distinct()
+
+
+def _open_links(docs: DataFrame, windows: DataFrame, found: DataFrame, t: int, buckets: int) -> DataFrame:
+    """Links inside open lists: windows are (list, doc, centre, lo, hi), found the links verified so far."""
+    holds = (F.col("begin_word") <= F.col("centre")) & (F.col("centre") + SHINGLE <= F.col("end_word"))
+    links = windows.join(found, (windows["doc"] == found["doc_id"]) & holds).select("list", "doc", "centre", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.col("source_id").alias("other"), F.lit(True).alias("link")).distinct()
+    rows = windows.select("*", F.col("doc").alias("other"), F.lit(False).alias("link")).union(links)
+
+    def still_open(table: pa.Table) -> pa.Table:
+        lists, doc, centre, lo, hi, other = (table.column(c).to_numpy() for c in ("list", "doc", "centre", "lo", "hi", "other"))
+        at, comp, settled = open_windows(lists, doc, other, table.column("link").to_numpy().astype(bool), centre)
+        return pa.table([*(pa.array(x[at]) for x in (lists, doc, lo, hi)), pa.array(comp), pa.array(settled)], ["list", "doc", "lo", "hi", "comp", "settled"])
+
+    part = lambda n, *keys: F.pmod(F.xxhash64(*keys), F.lit(n)).alias("part")
+    left = materialize(rows.groupBy(part(buckets * 2, "list")).applyInArrow(lambda table: still_open(table), "list long, doc long, lo long, hi long, comp long, settled boolean"), "passage-open")
+    spans = left.groupBy("doc").agg(F.collect_list(F.struct("list", "lo", "hi", "comp", "settled")).alias("spans"))
+    texts = docs.join(spans, docs["doc_id"] == spans["doc"]).groupBy("doc").agg(F.min("text").alias("text"), F.first("spans").alias("spans"))
+    names = ["list", "doc", "lo", "comp", "settled", "tokens"]
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in byte_groups(batch, "text", 2 << 20):
+                own = batch.slice(i, j - i)
+                rows = []
+                for d, s, spans in zip(own.column("doc").to_pylist(), Words(own.column("text").to_pylist()).sequences(), own.column("spans").to_pylist()):
+                    short = (s >> np.uint64(32)).astype(np.uint32)
+                    once = {}
+                    # of equal contexts of a document in a list, one that is not settled stands for all
+                    for x in sorted(spans, key=lambda x: (x["settled"], x["lo"])):
+                        cut = short[x["lo"]:x["hi"] + 1].tobytes()
+                        rows += [] if (x["list"], cut) in once else [(x["list"], d, x["lo"], x["comp"], x["settled"], cut)]
+                        once[x["list"], cut] = True
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.bool_(), pa.binary()))], names)
+
+    cut = materialize(map_batches(texts, contexts, "list long, doc long, lo long, comp long, settled boolean, tokens binary").withColumn("h", F.xxhash64("tokens")), "passage-contexts")
+    discard(left)
+    # equal contexts of a list are one class, led by its smallest document
+    classes = materialize(cut.groupBy("list", "h").agg(F.min(F.struct("doc", "lo", "comp", "settled", "tokens")).alias("x")).select("list", "h", "x.*"), "passage-classes")
+    heads = classes.select("list", "h", F.col("doc").alias("source_id"), F.col("comp").alias("home"))
+    members = cut.join(heads, ["list", "h"]).where("doc > source_id and (not settled or comp <> home)")
+    members = members.select(F.col("doc").alias("doc_id"), "source_id", F.col("lo").alias("begin_word"), (F.col("lo") + F.octet_length("tokens") / 4 + (SHINGLE - 1)).cast("long").alias("end_word"))
+    sizes = classes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = classes.join(sizes, "list").withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
+
+    def compare(table: pa.Table) -> pa.Table:
+        lists, i, j, block, doc, lo, comp, settled = (table.column(c).to_numpy() for c in ("list", "i", "j", "block", "doc", "lo", "comp", "settled"))
+        blobs = table.column("tokens").to_pylist()
+        order = np.lexsort((doc, j, i, lists))
+        key = np.stack((lists, i, j))[:, order]
+        cuts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            if b - a < 2 or (i[own[0]] != j[own[0]] and block[own].min() == block[own].max()):
+                continue
+            tokens = [np.frombuffer(blobs[x], np.uint32) for x in own]
+            rows += [(doc[own[x]], doc[own[y]], lo[own[x]] + p, lo[own[x]] + q + SHINGLE) for x, y, p, q in context_links(doc[own], comp[own], settled[own].astype(bool), block[own], tokens, t)]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        return pa.table([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "source_id", "begin_word", "end_word"])
+
+    near = dealt.select("list", "i", "j", "block", "doc", "lo", "comp", "settled", "tokens").groupBy(part(buckets * 4, "list", "i", "j")).applyInArrow(lambda table: compare(table), "doc_id long, source_id long, begin_word long, end_word long")
+    out = materialize(members.union(near).distinct(), "passage-more")
+    discard(cut, classes)
+    return out
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
