@@ -267,12 +267,31 @@ def shared_places(codes: np.ndarray) -> np.ndarray:
     row, code, times = row[order], code[order], times[order]
     for a in range(0, int(common.sum()), COUNTED):
         part = slice(*np.searchsorted(code, [a, a + COUNTED]))
-        places = np.zeros((len(codes), COUNTED), np.float32)
+        places = np.zeros((len(codes), min(COUNTED, int(common.sum()) - a)), np.float32)
         places[row[part], code[part] - a] = times[part]
         out += places @ (places > 0).astype(np.float32).T
     return out
 
 
+def can_link(codes: np.ndarray, docs: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Rows with a window of ``least`` places of which ``need`` hold a token that stands in other documents' rows too;
+    rows that have none are taken away until all have one."""
+    rows = np.arange(len(codes))
+    while len(rows):
+        own = codes[rows]
+        row, at = np.nonzero(own >= 0)
+        code, doc = own[row, at], docs[rows][row]
+        low, high = np.full(int(code.max()) + 2, np.iinfo(np.int64).max), np.full(int(code.max()) + 2, -1)
+        np.minimum.at(low, code, doc)
+        np.maximum.at(high, code, doc)
+        total = np.concatenate((np.zeros((len(own), 1), np.int64), np.cumsum((low < high)[own], axis=1)), axis=1)
+        good = (total[:, least:] - total[:, :-least]).max(axis=1, initial=0) >= need
+        if good.all():
+            break
+        rows = rows[good]
+    return rows
+
+
 def share_a_window(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.ndarray:
     """Which rows of ``ys`` have a window of ``least`` places with ``need`` tokens of x, and x one with theirs."""
     _, number = np.unique(x, return_inverse=True)
@@ -297,7 +316,11 @@ def context_links(ids: np.ndarray, comps: np.ndarray, settled: np.ndarray, sides
     as long as it is not settled, after that with those of other components; links found here count too.
     """
     need = -(-2 * PERCENT * least // (100 + PERCENT))
-    codes = coded(tokens)
+    codes, number = coded(tokens), np.unique(ids, return_inverse=True)[1]
+    left = can_link(codes, number, least, need)
+    if len(left) < len(ids):
+        rows = context_links(ids[left], comps[left], settled[left], sides[left], [tokens[x] for x in left], least) if len(left) > 1 else []
+        return [(int(left[x]), int(left[y]), a, b) for x, y, a, b in rows]
     places = shared_places(codes)
     near = (places >= need) & (places.T >= need) & (ids[:, None] > ids[None, :])
     if sides.min() != sides.max():
