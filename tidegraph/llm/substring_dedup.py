@@ -273,6 +273,11 @@ def shared_places(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def reach_of(least: int, need: int) -> int:
+    """Places of y over which the matches of a window of x may lie in ``matching_stretches``."""
+    return least + 2 * (GRID // 4 * max(1, (least - need) // (SHINGLE - 1)))
+
+
 def can_link(codes: np.ndarray, docs: np.ndarray, least: int, need: int) -> np.ndarray:
     """Rows with a window of ``least`` places of which ``need`` hold a token that stands in other documents' rows too;
     rows that have none are taken away until all have one."""
@@ -285,7 +290,8 @@ def can_link(codes: np.ndarray, docs: np.ndarray, least: int, need: int) -> np.n
         np.minimum.at(low, code, doc)
         np.maximum.at(high, code, doc)
         total = np.concatenate((np.zeros((len(own), 1), np.int64), np.cumsum((low < high)[own], axis=1)), axis=1)
-        good = (total[:, least:] - total[:, :-least]).max(axis=1, initial=0) >= need
+        wide = min(reach_of(least, need), codes.shape[1])
+        good = (total[:, wide:] - total[:, :-wide]).max(axis=1, initial=0) >= need
         if good.all():
             break
         rows = rows[good]
@@ -303,9 +309,9 @@ def share_a_window(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.n
     held = np.zeros((len(ys), int(number.max()) + 2), bool)
     held[np.arange(len(ys))[:, None], meet] = True
     out = np.ones(len(ys), bool)
-    for hit in (in_y, held[:, number]):
+    for hit, wide in ((in_y, min(reach_of(least, need), ys.shape[1])), (held[:, number], least)):
         total = np.concatenate((np.zeros((len(ys), 1), np.int64), np.cumsum(hit, axis=1)), axis=1)
-        out &= (total[:, least:] - total[:, :-least]).max(axis=1, initial=0) >= need
+        out &= (total[:, wide:] - total[:, :-wide]).max(axis=1, initial=0) >= need
     return out
 
 
