@@ -87,3 +87,13 @@ def test_global_ranks_equal_sorted_places(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 503).alias("x")).repartition(5)
     got = {r.x: r["rank"] for r in ranks.global_rank(df, ["x"]).collect()}
     assert got == {x: i for i, x in enumerate(sorted(got))}
+
+
+def test_an_empty_room_lets_a_namespace_grow_without_end(spark):
+    rows = [(i, f"p{i}", "A", "F", "1", "?", "?", "?", "None", "None", "NO", "No", "No", "No") for i in range(5)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    with pytest.raises(InvalidRequest):
+        etl.emit(df, DRUGS, BASE, STEP, room={"Patient": 3})
+    many = spark.range(100_005).select(F.col("id").alias("encounter_id"), F.col("id").cast("string").alias("patient_nbr"), *[F.lit("?").alias(c) for c in COLUMNS[2:]])
+    nodes, edges = etl.emit(many, DRUGS, BASE, STEP, room={})
+    assert nodes.where("node_type = 'Patient'").agg(F.max("node_id")).first()[0] == 100_005 and edges.count() == 100_005

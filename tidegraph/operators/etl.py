@@ -83,7 +83,8 @@ def emit(rows: DataFrame, drugs: list[str], base: int, step: int, patients: int
     results and its drugs with a dose, then tombstones, by name, for drugs of the patient's previous
     encounter that it lacks; each gets the next microsecond. Conditions, providers, results and drugs are
     nodes at ``base``, patients at their first encounter with their demographics (and the names of those to
-    be encrypted). Ids are dense by first sight; a namespace with too many raises. An empty table raises.
+    be encrypted). Ids are dense by first sight; a namespace with more than its ``room`` raises, one that ``room``
+    leaves out (``{}``: all) has no end. An empty table raises.
     Returns (node_id, ts, node_type, properties, encrypted) and (src, edge_type, dst, ts, properties, deleted).
     """
     timed = with_time(rows, base, step)
@@ -114,7 +115,8 @@ def emit(rows: DataFrame, drugs: list[str], base: int, step: int, patients: int
     seen = seen.union(timed.groupBy(F.lit("Patient"), "_patient").agg(F.min("ts")))
     ranked = persisted(global_rank(seen, ["node_type", "first", "key"], "_rank"), "seen")
     begins = ranked.groupBy("node_type").agg(F.min("_rank").alias("_begin"), F.count(F.lit(1)).alias("_n")).collect()  # six rows at most
-    room = room or {t: 99_999 if t == "Patient" else 100_000 for t in NAMESPACES if t != "Encounter"}
+    if room is None:
+        room = {t: 99_999 if t == "Patient" else 100_000 for t in NAMESPACES if t != "Encounter"}
     for r in begins:
         if r["_n"] > room.get(r["node_type"], r["_n"]):
             raise InvalidRequest(f"namespace {r['node_type']} overflows")
