@@ -40,3 +40,16 @@ def test_blocks_give_the_same_nearest_as_all_pairs(spark, small_blocks):
     got = similarity.top_similar(v, queries, 20, 4)
     assert "CartesianProduct" in got._jdf.queryExecution().toString() or "BroadcastNestedLoopJoin" in got._jdf.queryExecution().toString()
     assert rows_of(got.select(*want.columns)) == rows_of(want)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3])
+def test_blocks_give_the_same_changes_as_all_pairs(spark, small_blocks, least):
+    v = odd_versions(spark)
+    queries = v.where("node_id % 2 = 0").select("node_id").distinct()
+    a, b = (similarity.scores(v, queries, t).withColumnRenamed("score", n) for t, n in ((10, "before"), (20, "after")))
+    known = newest(v, ["node_id"], 10).select("node_id").intersect(newest(v, ["node_id"], 20).select("node_id")).withColumnRenamed("node_id", "query")
+    j = a.join(b, ["query", "node"], "full").join(known, "query", "left_semi").withColumn("two_sided", F.expr("before is not null and after is not null"))
+    j = j.withColumn("delta", F.when(F.col("two_sided"), F.round(F.col("after") - F.col("before"), 6)).otherwise(0.0)).where(~F.col("two_sided") | (F.abs("delta") >= least))
+    j = j.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.abs("delta").desc(), "node"))).where("place <= 5").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("before", "after")})
+    got = similarity.similarity_delta(v, queries, 10, 20, least, 5)
+    assert rows_of(got) == rows_of(j.select(*got.columns))
