@@ -96,3 +96,13 @@ def test_hub_deferral_loses_nothing(spark):
     split = embedding.affected(edges, m, hub_degree=10).collect()
     now, late = ({r.node for r in split if r.state == s} for s in ("affected", "deferred"))
     assert not now & late and now | late == plain and 100000 in late and 500 in now
+
+
+def test_without_a_cap_a_traversal_passes_any_hub(spark):
+    rows = [(i, 1, 100001, 110 + i, i, False) for i in range(1, 601)]
+    starts = spark.createDataFrame([(0, 7)], "request int, node long")
+    edges = live(spark, rows, 1000)
+    got = {(r.node, r.hops) for r in graph.traverse_set(edges, starts, 2, cap=None).collect()}
+    assert got == {(7, 0), (100001, 1)} | {(i, 2) for i in range(1, 601) if i != 7}
+    assert graph.traverse_set(edges, starts, 2).count() < len(got)
+    assert graph.traverse_set(edges, starts, 1, cap=None, window=(1, 112)).count() == 1

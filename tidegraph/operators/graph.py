@@ -47,14 +47,19 @@ def fan_out(live: DataFrame, cap: int, direction: str = "both", window: tuple[in
     return o.withColumn("capped", F.col("_over") | (F.col("_all") > cap)).where(F.col("_place") <= cap).drop("_rank", "_over", "_place", "_all")
 
 
-def traverse_set(live: DataFrame, starts: DataFrame, hops: int, direction: str = "both", cap: int = MAX_FAN_OUT, types: list[int] | None = None, window: tuple[int, int] | None = None) -> DataFrame:
+def traverse_set(live: DataFrame, starts: DataFrame, hops: int, direction: str = "both", cap: int | None = MAX_FAN_OUT, types: list[int] | None = None, window: tuple[int, int] | None = None) -> DataFrame:
     """Nodes reached from each start (request, node) and in how many hops; for all requests in one job.
 
-    No node or edge budget applies. Each hop is a join on the anchor and an anti join on what was reached.
+    No node or edge budget applies, and with ``cap`` None no fan-out cap either. Each hop is a join on the anchor
+    and an anti join on what was reached.
     """
     if types:
         live = live.where(F.col("edge_type").isin(sorted(set(types))))
-    steps = persisted(fan_out(live, cap, direction, window).select(F.col("anchor").alias("node"), "other").distinct(), "steps")
+    if cap is not None:
+        followed = fan_out(live, cap, direction, window)
+    else:
+        followed = oriented(live.where(F.col("ts").between(*window)) if window and window != (0, 0) else live, direction)
+    steps = persisted(followed.select(F.col("anchor").alias("node"), "other").distinct(), "steps")
     reached = starts.select("request", "node", F.lit(0).alias("hops")).distinct()
     frontier = reached
     for hop in range(1, min(max(hops, 0), MAX_HOPS) + 1):
