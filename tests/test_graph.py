@@ -106,3 +106,27 @@ def test_without_a_cap_a_traversal_passes_any_hub(spark):
     assert got == {(7, 0), (100001, 1)} | {(i, 2) for i in range(1, 601) if i != 7}
     assert graph.traverse_set(edges, starts, 2).count() < len(got)
     assert graph.traverse_set(edges, starts, 1, cap=None, window=(1, 112)).count() == 1
+
+
+def test_affected_rows_are_told_once_and_pairs_are_not_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "CHUNK", 3)
+    r = random.Random(9)
+    rows = [(r.randint(1, 14), r.randint(1, 3), r.randint(1, 14), i, i, False) for i in range(45)]
+    near = {}
+    for a, _, b, *_ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    asked = [(i, r.randint(1, 16), r.randint(1, 16)) for i in range(40)] + [(3, 2, 5), (3, 7, 9), (4, 1, 1)]
+    edges, m = live(spark, rows, 1000), spark.createDataFrame(asked, "request long, src long, dst long")
+    for degree in (None, 4):
+        hubs = {n for n, o in near.items() if degree and len(o) > degree}
+        want = set()
+        for request in {x[0] for x in asked}:
+            ends = {n for x in asked if x[0] == request for n in x[1:]}
+            wide = ends | {o for n in ends - hubs for o in near.get(n, ())}
+            late = {o for n in ends & hubs for o in near[n]} | (wide & hubs)
+            want |= {(request, n, "affected") for n in wide - hubs} | {(request, n, "deferred") for n in late - (wide - hubs)}
+        got = embedding.affected(edges, m, cap=None, hub_degree=degree)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    one = embedding.affected(edges, m.where("request > 4"), cap=None)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in one
