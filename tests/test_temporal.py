@@ -58,3 +58,14 @@ def test_limits_count_live_edges_only(spark):
     rows = [(1, 1, d, 100 + d, d, d == 6) for d in range(1, 7)]
     live = temporal.as_of(spark.createDataFrame(rows, SCHEMA), temporal.EDGE_KEY, 1000)
     assert sorted(r.dst for r in temporal.adjacency_limited(live, 2).collect()) == [4, 5]
+
+
+def test_ids_of_two_kinds_at_one_time_give_the_kind_of_their_namespace(spark, tmp_path):
+    from tidegraph.plans import queries
+
+    keys = {"customer": ("c_custkey", [4, 99_999, 199_999, 400_006]), "nation": ("n_nationkey", [0]), "part": ("p_partkey", [0, 200_000, 200_007]), "supplier": ("s_suppkey", [0, 7]), "region": ("r_regionkey", [0])}
+    for name, (column, values) in keys.items():
+        spark.createDataFrame([(v,) for v in values], f"{column} long").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.sql("select 1L o_orderkey, timestamp_ntz '1990-01-01 00:00:00' o_orderdate, 'O' o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.node_id, r.node_type) for r in queries.t01_node_as_of(spark, str(tmp_path)).collect()}
+    assert got == {(5, "Patient"), (100_000, "Condition"), (200_000, "Medication"), (400_000, "Provider"), (400_007, "Provider"), (500_000, "LabResult"), (600_001, "Encounter")}

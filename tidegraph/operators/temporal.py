@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 EDGE_KEY = ("src", "edge_type", "dst")
 
 
-def newest(versions: DataFrame, keys: Sequence[str], at: int | Column | None = None) -> DataFrame:
-    """The newest version of each key at or before ``at``, tombstones included; of equal times the last written."""
+def newest(versions: DataFrame, keys: Sequence[str], at: int | Column | None = None, ties: Sequence[Column] = ()) -> DataFrame:
+    """The newest version of each key at or before ``at``, tombstones included; of equal times the last written,
+    of those the first by ``ties``, without which reruns may differ."""
     if at is not None:
         versions = versions.where(F.col("ts") <= at)
-    w = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("seq").desc())
+    w = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("seq").desc(), *ties)
     return versions.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
@@ -26,9 +27,9 @@ def newest_by_max(versions: DataFrame, keys: Sequence[str], at: int | None = Non
     return versions.groupBy(*keys).agg(F.max(F.struct("ts", "seq", *rest)).alias("_v")).select(*keys, "_v.*")
 
 
-def as_of(versions: DataFrame, keys: Sequence[str], at: int | Column) -> DataFrame:
+def as_of(versions: DataFrame, keys: Sequence[str], at: int | Column, ties: Sequence[Column] = ()) -> DataFrame:
     """Live state: the newest version first, then tombstones go."""
-    return newest(versions, keys, at).where(~F.col("deleted"))
+    return newest(versions, keys, at, ties).where(~F.col("deleted"))
 
 
 def as_of_batch(versions: DataFrame, keys: Sequence[str], requests: DataFrame, time: str = "t") -> DataFrame:
