@@ -26,6 +26,8 @@ BUCKET_BYTES = 24 << 20
 SHORT_LIST = 8
 #: Contexts of an open list in a block, and tokens counted at once there.
 CROWD, COUNTED = 1024, 4096
+#: Contexts that are tested against one at once.
+BANDED = 64
 #: Pairs of equal tokens of two slices that are held at once.
 MATCHED = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -315,6 +317,41 @@ def share_a_window(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.n
     return out
 
 
+def share_a_band(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Which rows of ``ys`` (of ``coded``) can give a stretch in ``matching_stretches``: in one of its bands of diagonals
+    a window of ``least`` places of x, between the first and the last match, has ``need`` matches, and ``need`` places
+    of y have one. x is without filling."""
+    if len(x) < least:
+        return np.zeros(len(ys), bool)
+    reach = (reach_of(least, need) - least) // 2
+    order = np.argsort(x, kind="stable")
+    lo, hi = np.searchsorted(x[order], ys), np.searchsorted(x[order], ys, side="right")
+    hi[ys < 0] = lo[ys < 0]
+    sizes = (ys >= 0).sum(axis=1)
+    wide, out = ys.shape[1], np.zeros(len(ys), bool)
+    bands = (len(x) + wide) // reach + 2
+    for a in range(0, len(ys), BANDED):
+        row, j = np.nonzero((hi > lo)[a:a + BANDED])
+        n = (hi - lo)[a + row, j]
+        first = np.cumsum(n) - n
+        i = order[np.repeat(lo[a + row, j], n) + np.arange(int(n.sum())) - np.repeat(first, n)]
+        row, j = np.repeat(row, n), np.repeat(j, n)
+        band = (i - j + sizes[a + row]) // reach
+        in_x, in_y = (np.zeros((min(BANDED, len(ys) - a), bands, k), bool) for k in (len(x), wide))
+        for b in (band, band + 1):
+            in_x[row, b, i] = True
+            in_y[row, b, j] = True
+        enough = in_y.sum(axis=2) >= need
+        at = np.nonzero(enough & (in_x.sum(axis=2) >= need))
+        held = in_x[at]
+        total = np.concatenate((np.zeros((len(held), 1), np.int64), np.cumsum(held, axis=1)), axis=1)
+        begin = np.arange(len(x) - least + 1)
+        begun, ended = held.argmax(axis=1)[:, None], len(x) - held[:, ::-1].argmax(axis=1)[:, None]
+        good = (total[:, least:] - total[:, :-least] >= need) & (begin >= begun) & (begin + least <= ended)
+        out[a + at[0][good.any(axis=1)]] = True
+    return out
+
+
 def context_links(ids: np.ndarray, comps: np.ndarray, settled: np.ndarray, sides: np.ndarray, tokens: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
     """Verified links between the contexts of one list: rows x, y and the stretch of x, x of the larger document.
 
@@ -337,6 +374,8 @@ def context_links(ids: np.ndarray, comps: np.ndarray, settled: np.ndarray, sides
         ys = np.flatnonzero(near[x] & (comps != comps[x]) if done else near[x])
         if len(ys):
             ys = ys[share_a_window(codes[x][:len(tokens[x])], codes[ys], least, need)]
+        if len(ys):
+            ys = ys[share_a_band(codes[x][:len(tokens[x])], codes[ys], least, need)]
         for y in ys[np.argsort(ids[ys], kind="stable")].tolist():
             if done and comps[x] == comps[y]:
                 continue
