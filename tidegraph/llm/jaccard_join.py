@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -29,6 +29,8 @@ BUCKET_BYTES = 16 << 20
 CROWD = 256
 #: Bytes that a counted pair costs in one list, against 8 for each element of a set.
 PAIR_BYTES = 24
+#: Pairs whose matches are counted at once.
+HELD = 1 << 20
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,13 +53,6 @@ def needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(overlap - after, 1)
 
 
-def needed_sql(x: str, y: str) -> Column:
-    """``needed`` for two columns of sizes."""
-    part = lambda num, den: F.floor((num + (den - 1)) / den)
-    after = [part(PERCENT * F.col(n), 100) - F.when(F.col(n) >= MANY, MATCHES).otherwise(1) for n in (x, y)]
-    return F.greatest(part(PERCENT * (F.col(x) + F.col(y)), 100 + PERCENT) - F.greatest(*after), F.lit(1)).cast("long")
-
-
 def set_key(u: np.ndarray) -> int:
     """A set's class key: 64 bits of a hash over its sorted elements."""
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -393,6 +388,52 @@ def block_links(keys: np.ndarray, labels: np.ndarray, side: np.ndarray, sets: li
     return out
 
 
+def enough_matches(met: pa.Table, more: pa.Table, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a < b) of different labels that share as many prefix elements as their sizes ask for.
+
+    ``met`` has a row for each two blocks (x, y) and list in which they meet, with the members of both there;
+    ``more`` the matches of pairs in short lists. A class has one block, so a pair's matches are all in one task;
+    those of a few blocks at once are held as pairs.
+    """
+    x, y, sig = (met.column(c).to_numpy() for c in ("x", "y", "sig"))
+    sides = []
+    for c in ("xs", "ys"):
+        lists = met.column(c).combine_chunks()
+        own = lists.flatten()
+        ends = np.cumsum(np.concatenate(([0], lists.value_lengths().to_numpy().astype(np.int64))))
+        sides.append((ends, *(own.field(f).to_numpy() for f in ("key", "n", "label"))))
+    (ex, kx, nx, lx), (ey, ky, ny, ly) = sides
+    order = np.lexsort((y, x))
+    each = (np.diff(ex) * np.diff(ey))[order]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0), [True]))) if len(x) else np.zeros(1, np.int64)
+    total = np.concatenate(([0], np.cumsum(each)))
+    ma, mb, mn = (more.column(c).to_numpy() for c in ("a", "b", "n"))
+    found = [(np.zeros(0, np.int64),) * 2]
+    g = 0
+    while g < len(new) - 1:
+        # whole pairs of blocks, with about HELD pairs of classes
+        h = max(g + 1, int(np.searchsorted(total[new], total[new[g]] + HELD, side="right")) - 1)
+        rows, n = order[new[g]:new[h]], each[new[g]:new[h]]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide, row = np.repeat(np.diff(ey)[rows], n), np.repeat(rows, n)
+        i, j = ex[row] + step // wide, ey[row] + step % wide
+        subsets = (sig[row] & 1).astype(bool)
+        ok = (lx[i] != ly[j]) & ((x[row] != y[row]) | (kx[i] < ky[j])) & _near(nx[i], ny[j]) & (subsets | (np.maximum(nx[i], ny[j]) > light))
+        i, j, subsets = i[ok], j[ok], subsets[ok]
+        a, b, n, need = _counted(kx[i], ky[j], np.where(subsets, 1, needed(nx[i], ny[j])))
+        # those with too few in long lists may have the rest in short ones
+        low = np.flatnonzero(n < need)
+        if len(low) and len(ma):
+            own = np.flatnonzero(np.isin(ma, a[low]) & np.isin(mb, b[low]))
+            all_a, all_b = np.concatenate((a[low], ma[own])), np.concatenate((b[low], mb[own]))
+            by = np.lexsort((np.repeat((0, 1), (len(low), len(own))), all_b, all_a))
+            same = np.flatnonzero((np.diff(all_a[by]) == 0) & (np.diff(all_b[by]) == 0))
+            n[low[by[same]]] += mn[own[by[same + 1] - len(low)]]
+        found.append((a[n >= need], b[n >= need]))
+        g = h
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, classes: DataFrame, docs: DataFrame, light: int, buckets: int) -> DataFrame:
     """Links between components that meet in long lists, given these lists' rows (sig, key, n, label).
 
@@ -400,8 +441,8 @@ def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, cl
     blocks of about CROWD, those of a large component apart from the others; blocks of one large component
     or of bands that are no neighbours are never compared. Two blocks that meet in lists are compared as a
     whole where their sets are fewer bytes than the pairs in their lists, so that neither pairs nor lists of
-    a crowd leave a task; otherwise their pairs' matches are counted, with those of short lists
-    (``met_pairs``), and the pairs with enough that are not ``done`` are verified.
+    a crowd leave a task; otherwise their pairs' matches are counted in one task, with those of short lists
+    (``met_pairs``), and only pairs with enough leave it; those that are not ``done`` are verified.
     """
     homes = materialize(open_lists.groupBy("key").agg(F.min("sig").alias("home"), F.min("label").alias("label"), F.min("n").alias("n")).withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")), "jaccard-homes")
     large = homes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("parts")).where("parts > 1")
@@ -439,16 +480,19 @@ def cross_links(open_lists: DataFrame, met_pairs: DataFrame, done: DataFrame, cl
 
     found = materialize(dealt.groupBy("bucket").applyInArrow(compare, "a long, b long"), "jaccard-cross")
 
-    # matches of pairs of the other blocks
+    # matches of pairs of the other blocks, counted where two blocks meet; matches in short lists come there too
+    members = rows.groupBy("sig", "block").agg(F.collect_list(F.struct("key", "n", "label")).alias("own"))
     few = lists.select("sig", "x", "y").join(meet.where("not whole").select("x", "y"), ["x", "y"])
-    left = rows.select("sig", F.col("block").alias("x"), F.col("key").alias("kx"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = rows.select("sig", F.col("block").alias("y"), F.col("key").alias("ky"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    low, high = F.least("nx", "ny"), F.greatest("nx", "ny")
-    apart = (F.col("lx") != F.col("ly")) & ((F.col("x") != F.col("y")) | (F.col("kx") < F.col("ky"))) & (100 * low >= PERCENT * high) & ((F.col("sig").bitwiseAND(F.lit(1)) == 1) | (high > light))
-    counted = few.join(left, ["sig", "x"]).join(right, ["sig", "y"]).where(apart).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), F.lit(1).cast("long").alias("n"), F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, 1).otherwise(needed_sql("nx", "ny")).alias("need"))
-    counted = counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    both = counted.join(met_pairs.groupBy("a", "b").agg(F.sum("n").alias("more")), ["a", "b"], "left").where("n + coalesce(more, 0) >= need")
-    second = materialize(both.select("a", "b").join(done, ["a", "b"], "left_anti"), "jaccard-second")
+    few = few.join(members.toDF("sig", "x", "xs"), ["sig", "x"]).join(members.toDF("sig", "y", "ys"), ["sig", "y"])
+    ends = [blocks.select(F.col("key").alias(k), F.col("label").alias(f"l{k}"), F.col("block").alias(f"b{k}")) for k in "ab"]
+    more = met_pairs.join(ends[0], "a").join(ends[1], "b").where("la <> lb").groupBy("a", "b", F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y")).agg(F.sum("n").alias("n"))
+    at = F.pmod(F.xxhash64("x", "y"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def count(met: pa.Table, more: pa.Table) -> pa.Table:
+        return pa.table(list(enough_matches(met, more, light)), ["a", "b"])
+
+    both = few.withColumn("bucket", at).groupBy("bucket").cogroup(more.withColumn("bucket", at).groupBy("bucket")).applyInArrow(count, "a long, b long")
+    second = materialize(both.join(done, ["a", "b"], "left_anti"), "jaccard-second")
     if not second.isEmpty():
         found = found.union(verify(second, classes, docs, buckets))
     discard(homes, blocks, rows, lists, meet, needs)
