@@ -30,6 +30,8 @@ CROWD, COUNTED = 1024, 4096
 BANDED = 64
 #: Pairs of equal tokens of two slices that are held at once.
 MATCHED = 1 << 20
+#: Links of windows that are looked up at once.
+LINKS = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -205,18 +207,40 @@ def open_windows(lists: np.ndarray, docs: np.ndarray, others: np.ndarray, links:
     settled.
     """
     own, by = np.flatnonzero(~links), np.flatnonzero(links)
-    ends = np.concatenate((own, by, by))
-    ids = np.concatenate((docs[own], docs[by], others[by]))
-    order = np.lexsort((ids, lists[ends]))
-    new = np.concatenate(([True], (lists[ends][order][1:] != lists[ends][order][:-1]) | (ids[order][1:] != ids[order][:-1])))
-    node = np.empty(len(ends), np.int64)
+    if not len(own):
+        return own, docs[own], links[own]
+    order = np.lexsort((docs[own], lists[own]))
+    new = np.concatenate(([True], (np.diff(lists[own][order]) != 0) | (np.diff(docs[own][order]) != 0)))
+    node = np.empty(len(own), np.int64)
     node[order] = np.cumsum(new) - 1
-    name, home = ids[order][new], lists[ends][order][new]
-    held = np.zeros(len(name), bool)
-    held[node[:len(own)]] = True
-    a, b = node[len(own):len(own) + len(by)], node[len(own) + len(by):]
-    both = held[a] & held[b]
-    a, b, by = a[both], b[both], by[both]
+    name, home = docs[own][order][new], lists[own][order][new]
+    (list_names, in_list), (doc_names, in_doc) = (np.unique(x, return_inverse=True) for x in (home, name))
+    nodes = in_list * len(doc_names) + in_doc
+    low, wide = int(centres.min()), int(centres.max()) - int(centres.min()) + 1
+    windows, window = np.unique(node * wide + (centres[own] - low), return_inverse=True)
+    linked = np.zeros(len(windows), bool)
+
+    def places(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        return at, names[at] == x
+
+    # links between documents that the list holds, a part at a time: there may be many for each window
+    edges = np.zeros(0, np.int64)
+    for k in range(0, len(by), LINKS):
+        part = by[k:k + LINKS]
+        at, _ = places(list_names, lists[part])
+        ends, held = [], lists[part] == list_names[at]
+        for ids in (docs, others):
+            doc, there = places(doc_names, ids[part])
+            end, met = places(nodes, at * len(doc_names) + doc)
+            ends.append(end)
+            held &= there & met
+        x, y = (e[held] for e in ends)
+        edges = np.union1d(edges, x * len(name) + y)
+        # a link is of the window whose centre it holds
+        where, met = places(windows, x * wide + (centres[part][held] - low))
+        linked[where[met]] = True
+    a, b = edges // len(name), edges % len(name)
     label = np.arange(len(name))
     while True:
         before = label.copy()
@@ -227,20 +251,8 @@ def open_windows(lists: np.ndarray, docs: np.ndarray, others: np.ndarray, links:
         label = label[label]
         if (label == before).all():
             break
-    # a link is of the window whose centre it holds
-    rows = np.concatenate((own, by))
-    where = np.concatenate((node[:len(own)], a))
-    order = np.lexsort((centres[rows], where))
-    new = np.concatenate(([True], (where[order][1:] != where[order][:-1]) | (centres[rows][order][1:] != centres[rows][order][:-1])))
-    window = np.empty(len(rows), np.int64)
-    window[order] = np.cumsum(new) - 1
-    linked = np.zeros(int(new.sum()), bool)
-    linked[window[len(own):]] = True
-    settled = linked[window[:len(own)]]
-    mine = node[:len(own)]
-    first = np.zeros(len(name), bool)
-    seen = np.flatnonzero(held)
-    first[seen[np.concatenate(([True], home[seen][1:] != home[seen][:-1]))]] = True
+    settled, mine = linked[window], node
+    first = np.concatenate(([True], home[1:] != home[:-1]))
     left = np.unique(lists[own][~settled & ~first[mine]])
     use = np.isin(lists[own], left)
     return own[use], name[label[mine[use]]], settled[use]
