@@ -8,7 +8,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ KEPT_WORDS, KEPT_BYTES = 900_000, 24 << 20
 MARK = "\x01"
 #: Marks that may end a word and that no contraction begins with.
 TAIL = ".,;:!?|"
+#: Pieces of up to eight bytes are found by these bytes as a number, in a table of this many slots (a power of two).
+SLOTS = 20
+#: Words that the library encodes in one call where it marks their ends itself.
+ENDED = 2_000
 #: Ends a document between encoder and grammar; no id is as large.
 END = 0xFFFFFFFF
 RULES_A_ROUND, LEAST_COUNT = 8192, 8
@@ -211,6 +215,36 @@ def _settled(text: str) -> bool:
     return text.isascii() and text == text.lower() or text == text.lower() and "\u03c2" not in text and unicodedata.is_normalized("NFC", text)
 
 
+def _edges(*apart: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a piece begins, and whether one ends, between bytes of two kinds (8 * the former + the latter):
+    at blanks (0), and between the kinds that are ``apart``."""
+    begins, ends = np.zeros((8, 8), bool), np.zeros((8, 8), bool)
+    begins[0, 1:] = ends[1:, 0] = True
+    for x, y in apart:
+        begins[x, y] = ends[x, y] = True
+    return begins.ravel(), ends.ravel()
+
+
+#: Blanks, other bytes, ASCII letters, digits, and marks other than the apostrophe, which may begin a contraction.
+_BLANK, _OTHER, _LETTER, _DIGIT, _PUNCT = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[32, *range(9, 14)]] = _BLANK
+for _kind, _bytes in ((_LETTER, range(65, 91)), (_LETTER, range(97, 123)), (_DIGIT, range(48, 58)), (_PUNCT, b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')):
+    _KINDS[list(_bytes)] = _kind
+_BY_BLANKS = _edges()
+_BY_KINDS = _edges((_LETTER, _DIGIT), (_DIGIT, _LETTER), (_LETTER, _PUNCT), (_PUNCT, _LETTER), (_DIGIT, _PUNCT), (_PUNCT, _DIGIT), (_DIGIT, _DIGIT))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Places(dict):
+    """Numbers of pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 def _joined(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
 
@@ -219,7 +253,9 @@ class WordEncoder:
     """Ids by white-space separated word, for tokenizers that always part words there and keep no white space.
 
     The library encodes many new words in one string, each followed by a mark that words do not hold, and the
-    ids are cut at the marks. Words are kept between batches up to a bound in number and in bytes. ASCII letters are lowered first, as the tokenizer would do, unless the text may hold
+    ids are cut at the marks; words of letters need none where the model ends words with ids of their own. Where
+    the pre-tokenizer parts ASCII letters, digits and marks, they are parted here, and the pieces take the words'
+    place. Words are kept between batches up to a bound in number and in bytes. ASCII letters are lowered first, as the tokenizer would do, unless the text may hold
     the spelling of a special token. Files with other steps than those known here raise ValueError.
     """
 
@@ -241,6 +277,13 @@ class WordEncoder:
         if len(known) == 1 and known[0]["pattern"].get("Regex", "").endswith(letters_apart):
             alone = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
             self.letters = Tokenizer.from_str(json.dumps(alone))
+        replaced = [(x["pattern"], x["content"]) for x in self.flat(spec["normalizer"]) if x["type"] == "Replace"]
+        contractions = "'s|'t|'re|'ve|'m|'ll|'d|"
+        parts = self.letters is not None and known[0]["pattern"]["Regex"] in (letters_apart, contractions + letters_apart) and all(x == ({"Regex": r"\s+"}, " ") for x in replaced)
+        self.edges = _BY_KINDS if parts else _BY_BLANKS
+        suffix, words = spec["model"].get("end_of_word_suffix"), self.library.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(words.values()) + 1, bool)
+        self.final[[i for x, i in words.items() if suffix and x.endswith(suffix)]] = True
         self.specials = [x["content"].lower().encode() for x in spec["added_tokens"]]
         self.begin()
 
@@ -259,7 +302,8 @@ class WordEncoder:
         return [y for x in inner for y in self.flat(x)] if inner else [step] if step else []
 
     def begin(self) -> None:
-        self.known: dict[bytes | None, int] = {None: 0}
+        self.known = Places({None: 0})
+        self.keys, self.at = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
         self.pool, self.starts, self.sizes = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
         self.held = 0
 
@@ -274,6 +318,19 @@ class WordEncoder:
             raise ValueError("words and marks do not part")
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
+    def ended(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``marked`` for words of letters, without marks where each word's last id ends a word."""
+        pools, sizes = [], []
+        for i in range(0, len(words), ENDED):
+            part = words[i:i + ENDED]
+            ids = np.array(self.letters.encode_batch_fast([self.bytes_as_letters(" ".join(part))], add_special_tokens=False)[0].ids, np.uint32)
+            n = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+            if len(n) != len(part) or n.sum() != len(ids):
+                ids, n = self.marked(self.letters, part)
+            pools.append(ids)
+            sizes.append(n)
+        return np.concatenate(pools), np.concatenate(sizes)
+
     def bytes_as_letters(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(_BYTE_LEVEL)
 
@@ -294,7 +351,7 @@ class WordEncoder:
         odd = {w: i + len(own) + len(ends) for i, w in enumerate(w for w, p in zip(words, plain) if not p and MARK in w)}
         rest = {w: i + len(own) + len(ends) + len(odd) for i, w in enumerate(w for w, p in zip(words, plain) if not p and MARK not in w)}
         pools, sizes = [], []
-        for ids, n in (self.marked(self.letters, list(own)) if own else _NONE, _joined(self.whole(list(ends))), _joined(self.whole(list(odd))), self.marked(self.library, list(rest)) if rest else _NONE):
+        for ids, n in (self.ended(list(own)) if own else _NONE, _joined(self.whole(list(ends))), _joined(self.whole(list(odd))), self.marked(self.library, list(rest)) if rest else _NONE):
             pools.append(ids)
             sizes.append(n)
         pool, size = np.concatenate(pools), np.concatenate(sizes)
@@ -308,37 +365,51 @@ class WordEncoder:
         for i in range(0, len(fresh), 20_000):
             part = fresh[i:i + 20_000]
             ids, n = self.fresh_ids(b"\n".join(part).decode().split("\n"))
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
             self.held += sum(map(len, part))
             pools.append(ids)
             sizes.append(n)
         self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def places(self, words: list[bytes | None]) -> np.ndarray:
-        """Numbers of the words in the pool; words not seen before are learned."""
-        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            fresh = {words[i] for i in missing}
-            if len(self.known) + len(fresh) > KEPT_WORDS or self.held > KEPT_BYTES:
-                self.begin()
-                fresh = set(words).difference(self.known)
-                missing = range(len(words))
-            self.learn(list(fresh))
-            out[missing] = [self.known[words[i]] for i in missing]
-        return out
+    def places(self, raw: bytes, edges: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in the pool of the pieces of ``raw``, and where they begin; pieces not seen before are learned."""
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        kinds = np.zeros(len(raw) + 2, np.uint8)
+        kinds[1:-1] = _KINDS[data[:len(raw)]]
+        between = kinds[:-1] * 8 + kinds[1:]
+        begins, ends = (np.flatnonzero(x[between]) for x in edges)
+        sizes = ends - begins
+        # of up to eight bytes without a zero: the bytes as a number
+        keys = np.lib.stride_tricks.as_strided(data, (len(raw) + 1, 8), (1, 1))[begins].view(np.uint64).ravel() & _FIRST_BYTES[np.minimum(sizes, 8)]
+        short = sizes <= (0 if b"\0" in raw else 8)
+        slots = (keys * _ODD) >> np.uint64(64 - SLOTS)
+        out = np.where(short & (self.keys[slots] == keys), self.at[slots], -1).astype(np.int64)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            before = len(self.known)
+            out[missing] = np.fromiter(map(self.known.__getitem__, [raw[a:b] for a, b in zip(begins[missing].tolist(), ends[missing].tolist())]), np.int64, len(missing))
+            if len(self.known) > before:
+                self.learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
+            own = missing[short[missing]]
+            own = own[self.keys[slots[own]] == 0]
+            self.keys[slots[own]] = keys[own]
+            own = own[self.keys[slots[own]] == keys[own]]
+            self.at[slots[own]] = out[own]
+        return out, begins
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
         """Ids of the texts, END after each."""
-        words: list[bytes | None] = []
-        for x in texts:
-            raw = (x or "").encode()
-            low = raw.lower() if self.lowers else raw
-            words += (raw if any(y in low for y in self.specials) else low).split()
-            words.append(None)
-        at = self.places(words)
-        return gather(self.starts, self.sizes, self.pool, at)
+        if len(self.known) > KEPT_WORDS or self.held > KEPT_BYTES:
+            self.begin()
+        raws = [(x or "").encode() for x in texts]
+        lows = [x.lower() for x in raws] if self.lowers else raws
+        joined, edges = b"\n".join(lows), self.edges
+        if any(y in joined for y in self.specials):
+            lows = [x if any(y in low for y in self.specials) else low for x, low in zip(raws, lows)]
+            joined, edges = b"\n".join(lows), _BY_BLANKS
+        at, begins = self.places(joined, edges)
+        ends = np.searchsorted(begins, np.cumsum([len(x) + 1 for x in lows]))
+        return gather(self.starts, self.sizes, self.pool, np.insert(at, ends, 0))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
