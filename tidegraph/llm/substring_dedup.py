@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard_join import _dealt
-from .support import byte_groups, discard, map_batches, materialize, partitions_for, total_bytes
+from .support import byte_groups, discard, give_back, map_batches, materialize, partitions_for, total_bytes
 from .words import SHINGLE, Words, mix
 
 #: Passages have this many words at least.
@@ -21,7 +21,7 @@ LEAST_WORDS = 50
 HASHES, AGREE = 5, 2
 PERCENT = 75
 GRID = 64
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 10 << 20
 #: Lists of up to this many windows give all their pairs.
 SHORT_LIST = 8
 #: Contexts of an open list in a block, and tokens counted at once there.
@@ -30,6 +30,10 @@ CROWD, COUNTED = 1024, 4096
 BANDED = 64
 #: Pairs of equal tokens of two slices that are held at once.
 MATCHED = 1 << 20
+#: Contexts that leave a worker at once.
+CONTEXTS = 1 << 16
+#: Meetings of windows that leave a worker at once.
+MEETINGS = 1 << 16
 #: Links of windows that are looked up at once.
 LINKS = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
@@ -52,8 +56,8 @@ def compact_windows(s: np.ndarray, offsets: np.ndarray, t: int, which: int) -> t
 
     ``s`` holds the texts' tokens one after another, ``offsets`` where each begins and the end. The least
     hash of every subsequence of t tokens or more that lies in [first, last] and holds the centre is the
-    centre's. Centres are the minima of windows of t; their bounds are the neighbours in the Cartesian tree
-    over them, since any token outside that has a smaller hash than a centre is itself a centre.
+    centre's. Centres are the minima of windows of t; their bounds are the nearest centres with smaller
+    hashes, since any token outside that has a smaller hash than a centre is itself a centre.
     """
     n = len(s)
     none = np.zeros(0, np.int64)
@@ -67,20 +71,30 @@ def compact_windows(s: np.ndarray, offsets: np.ndarray, t: int, which: int) -> t
     values = values[np.concatenate(([True], values[1:] != values[:-1]))]
     centres = (values & _PLACE).astype(np.int64)
     owners = doc[centres]
-    begins, ends = offsets[owners].tolist(), (offsets[owners + 1] - 1).tolist()
-    vs, cs, ds = values.tolist(), centres.tolist(), owners.tolist()
-    first, last = begins[:], ends[:]
-    stack: list[int] = []
-    now = -1
-    for i, v in enumerate(vs):
-        if ds[i] != now:
-            stack, now = [], ds[i]
-        while stack and vs[stack[-1]] > v:
-            last[stack.pop()] = cs[i] - 1
-        if stack:
-            first[i] = cs[stack[-1]] + 1
-        stack.append(i)
-    return centres, np.array(first), np.array(last)
+    number = np.arange(len(values))
+    new = np.concatenate(([True], owners[1:] != owners[:-1]))
+    begin = number[new][np.cumsum(new) - 1]
+    end = np.append(number[new][1:], len(values))[np.cumsum(new) - 1]
+    before, after = _smaller(values, begin - 1, -1), _smaller(values, end, 1)
+    first = np.where(before < begin, offsets[owners], centres[before] + 1)
+    last = np.where(after == end, offsets[owners + 1], centres[np.minimum(after, len(values) - 1)]) - 1
+    return centres, first, last
+
+
+def _smaller(values: np.ndarray, bound: np.ndarray, step: int) -> np.ndarray:
+    """For each place the nearest place in the direction of ``step`` with a smaller value, or its ``bound``.
+
+    All between a place and its candidate is larger, so where the candidate is larger too, what the candidate
+    has as its own comes next.
+    """
+    out = np.arange(len(values)) + step
+    left = np.flatnonzero(out != bound)
+    left = left[values[out[left]] > values[left]]
+    while len(left):
+        out[left] = out[out[left]]
+        left = left[out[left] != bound[left]]
+        left = left[values[out[left]] > values[left]]
+    return out
 
 
 def overlaps(f: np.ndarray, first: np.ndarray, last: np.ndarray, agree: int, least: int) -> list[tuple[int, int]]:
@@ -128,6 +142,13 @@ def first_copies(s: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at[back], np.cumsum(edge)[:n] > 0
 
 
+def _not_inside(held: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Which of the bands have matches that the next or the former band doesn't have all. Matches with ``held`` number
+    b lie in the bands b and b + 1; more matches never take a stretch away."""
+    former, second = ((bands >= n) & held[..., np.maximum(bands - n, 0)] for n in (1, 2))
+    return former & (held[..., bands] | ~second)
+
+
 def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Stretches of ``x`` in which windows of ``least`` tokens stand in ``y`` along a diagonal.
 
@@ -141,7 +162,7 @@ def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[i
     if len(x) < least or len(y) < need:
         return []
     reach = GRID // 4 * max(1, (least - need) // (SHINGLE - 1))
-    order = np.argsort(y, kind="stable")
+    order = np.argsort(y)
     ys = y[order]
     lo, hi = np.searchsorted(ys, x), np.searchsorted(ys, x, side="right")
     if np.count_nonzero(hi > lo) < need:
@@ -164,21 +185,25 @@ def matching_stretches(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[i
         i = np.repeat(np.arange(part.start, part.stop), n)
         j = order[np.repeat(lo[part], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
         band = (i - j + len(y)) // reach
-        i, j, band = np.tile(i, 2), np.tile(j, 2), np.concatenate((band, band + 1))
+        held = np.bincount(band, minlength=(len(x) + len(y)) // reach + 2) > 0
+        band = np.concatenate((band, band + 1))
+        if len(held) < 1 << 16:
+            band = band.astype(np.uint16)  # sorted by its digits
         band_order = np.argsort(band, kind="stable")
         band = band[band_order]
+        band_order[band_order >= len(i)] -= len(i)
         cuts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
-        for g in np.flatnonzero(np.diff(cuts) >= need):
+        many = np.flatnonzero(np.diff(cuts) >= need)
+        for g in many[_not_inside(held, band[cuts[many]].astype(np.int64))] if len(many) else many:
             own = band_order[cuts[g]:cuts[g + 1]]
             p, q = i[own], j[own]
-            at = np.unique(p)
+            at = np.flatnonzero(np.bincount(p))
             if len(at) < need or (at[need - 1:] - at[:len(at) - need + 1]).min() >= least:
                 continue
             first, size = int(at[0]) - least + 1, int(at[-1] - at[0]) + 2 * least
             in_x = np.bincount(at - first - least + 1, minlength=size) - np.bincount(at - first + 1, minlength=size)
             # a token of y counts once a window: from after its last use, or where the window first holds it
-            by_y = np.lexsort((p, q))
-            p, q = p[by_y], q[by_y]
+            q, p = np.divmod(np.sort(q * len(x) + p), len(x))
             begin = p - first - least + 1
             again = np.flatnonzero(q[1:] == q[:-1]) + 1
             begin[again] = np.maximum(begin[again], p[again - 1] - first + 1)
@@ -349,11 +374,13 @@ def share_a_band(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.nda
         i = order[np.repeat(lo[a + row, j], n) + np.arange(int(n.sum())) - np.repeat(first, n)]
         row, j = np.repeat(row, n), np.repeat(j, n)
         band = (i - j + sizes[a + row]) // reach
+        one = np.zeros((min(BANDED, len(ys) - a), bands), bool)
+        one[row, band] = True
         in_x, in_y = (np.zeros((min(BANDED, len(ys) - a), bands, k), bool) for k in (len(x), wide))
         for b in (band, band + 1):
             in_x[row, b, i] = True
             in_y[row, b, j] = True
-        enough = in_y.sum(axis=2) >= need
+        enough = (in_y.sum(axis=2) >= need) & _not_inside(one, np.arange(bands))
         at = np.nonzero(enough & (in_x.sum(axis=2) >= need))
         held = in_x[at]
         total = np.concatenate((np.zeros((len(held), 1), np.int64), np.cumsum(held, axis=1)), axis=1)
@@ -482,12 +509,13 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     names = ["kind", "doc", "other", "f", "first", "last", "ofirst", "olast"]
 
     def meet(table: pa.Table) -> pa.Table:
+        give_back()
         sig, ids = whole(table, "sigs", np.uint64), whole(table, "ids", np.int64)
-        first, last = whole(table, "firsts", np.int32).astype(np.int64), whole(table, "lasts", np.int32).astype(np.int64)
+        first, last = whole(table, "firsts", np.int32), whole(table, "lasts", np.int32)
         if table.column("bucket")[0].as_py() < 0:
             # lengths of whole texts, by text key
-            return pa.table([pa.array(np.full(len(ids), 0, np.int64)), *map(pa.array, (ids, ids, sig.view(np.int64), first, last, first, last))], names)
-        centre = whole(table, "centres", np.int32).astype(np.int64)
+            return meetings(0, ids, ids, sig.view(np.int64), first, last, first, last)
+        centre = whole(table, "centres", np.int32)
         order = np.lexsort((first, ids, sig))
         sig, ids, first, last, centre = (x[order] for x in (sig, ids, first, last, centre))
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
@@ -508,13 +536,19 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                 ys.append(own + p)
         x, y = np.concatenate(xs), np.concatenate(ys)
         f = (sig[x] & np.uint64(7)).astype(np.int64)
-        met = pa.table([pa.array(np.full(len(x), 1, np.int64)), *map(pa.array, (ids[x], ids[y], f, first[x], last[x], first[y], last[y]))], names)
+        met = meetings(1, ids[x], ids[y], f, first[x], last[x], first[y], last[y])
         # windows of longer lists: the list, and what a passage of the least width around the centre can reach
         c = centre[i]
         lo, hi = np.maximum(first[i], c - t + 1), np.minimum(last[i], c + t - 1)
-        return pa.concat_tables([met, pa.table([pa.array(np.full(len(i), 2, np.int64)), *map(pa.array, (ids[i], sig[i].view(np.int64), c, lo, hi, lo, hi))], names)])
+        return pa.concat_tables([met, meetings(2, ids[i], sig[i].view(np.int64), c.astype(np.int64), lo, hi, lo, hi)])
+
+    kinds = dict(zip(names, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4)))
+
+    def meetings(kind: int, *columns: np.ndarray) -> pa.Table:
+        rows = pa.table([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], pa.schema(list(kinds.items())))
+        return pa.Table.from_batches(rows.to_batches(max_chunksize=MEETINGS), rows.schema)
 
-    schema = ", ".join(f"{c} long" for c in names)
+    schema = ", ".join(f"{c} {'int' if k == pa.int32() else 'long'}" for c, k in kinds.items())
     blobs = map_batches(unique, windows, "bucket int, sigs binary, ids binary, firsts binary, lasts binary, centres binary")
     met = materialize(blobs.groupBy("bucket").applyInArrow(meet, schema), "passage-meetings")
 
@@ -584,23 +618,41 @@ def _open_links(docs: DataFrame, windows: DataFrame, found: DataFrame, t: int, b
     left = materialize(rows.groupBy(part(buckets * 2, "list")).applyInArrow(lambda table: still_open(table), "list long, doc long, lo long, hi long, comp long, settled boolean"), "passage-open")
     spans = left.groupBy("doc").agg(F.collect_list(F.struct("list", "lo", "hi", "comp", "settled")).alias("spans"))
     texts = docs.join(spans, docs["doc_id"] == spans["doc"]).groupBy("doc").agg(F.min("text").alias("text"), F.first("spans").alias("spans"))
-    names = ["list", "doc", "lo", "comp", "settled", "tokens"]
+    names, names_of_spans = ["list", "doc", "lo", "comp", "settled", "tokens"], ["list", "lo", "hi", "comp", "settled"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in byte_groups(batch, "text", 2 << 20):
                 own = batch.slice(i, j - i)
-                rows = []
-                for d, s, spans in zip(own.column("doc").to_pylist(), Words(own.column("text").to_pylist()).sequences(), own.column("spans").to_pylist()):
-                    short = (s >> np.uint64(32)).astype(np.uint32)
-                    once = {}
-                    # of equal contexts of a document in a list, one that is not settled stands for all
-                    for x in sorted(spans, key=lambda x: (x["settled"], x["lo"])):
-                        cut = short[x["lo"]:x["hi"] + 1].tobytes()
-                        rows += [] if (x["list"], cut) in once else [(x["list"], d, x["lo"], x["comp"], x["settled"], cut)]
-                        once[x["list"], cut] = True
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.bool_(), pa.binary()))], names)
+                seqs = Words(own.column("text").to_pylist()).sequences()
+                begins = np.concatenate(([0], np.cumsum([len(x) for x in seqs])))
+                short = (np.concatenate(seqs) >> np.uint64(32)).astype(np.uint32)
+                spans = own.column("spans")
+                lists, lo, hi, comp, settled = (spans.flatten().field(x).to_numpy(zero_copy_only=False) for x in names_of_spans)
+                owner = np.repeat(np.arange(len(seqs)), spans.value_lengths().to_numpy())
+                # of equal contexts of a document in a list, one that is not settled stands for all
+                order = np.lexsort((lo, settled, lists, owner))
+                new = np.concatenate(([True], (np.diff(lists[order]) != 0) | (np.diff(owner[order]) != 0), [True]))
+                begin, keep, n = lo + begins[owner], np.ones(len(order), bool), hi - lo + 1
+                for a in np.flatnonzero(new[:-1] & ~new[1:]).tolist():
+                    seen = set()
+                    while True:
+                        x = order[a]
+                        token = short[begin[x]:begin[x] + n[x]].tobytes()
+                        keep[a] = token not in seen
+                        seen.add(token)
+                        a += 1
+                        if new[a]:
+                            break
+                order = order[keep]
+                docs_of = own.column("doc").to_numpy()[owner]
+                for a in range(0, len(order), CONTEXTS):
+                    x = order[a:a + CONTEXTS]
+                    ends = np.cumsum(n[x])
+                    tokens = short[np.repeat(begin[x] - (ends - n[x]), n[x]) + np.arange(int(ends[-1]))]
+                    offsets = np.concatenate(([0], 4 * ends)).astype(np.int32)
+                    blobs = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(tokens)])
+                    yield pa.record_batch([*(pa.array(c[x]) for c in (lists, docs_of, lo, comp, settled)), blobs], names)
 
     cut = materialize(map_batches(texts, contexts, "list long, doc long, lo long, comp long, settled boolean, tokens binary").withColumn("h", F.xxhash64("tokens")), "passage-contexts")
     discard(left)
@@ -616,7 +668,7 @@ def _open_links(docs: DataFrame, windows: DataFrame, found: DataFrame, t: int, b
     def compare(table: pa.Table) -> pa.Table:
         lists, i, j, block, doc, lo, comp, settled = (table.column(c).to_numpy() for c in ("list", "i", "j", "block", "doc", "lo", "comp", "settled"))
         blobs = table.column("tokens").to_pylist()
-        order = np.lexsort((doc, j, i, lists))
+        order = np.lexsort((settled, lo, doc, j, i, lists))
         key = np.stack((lists, i, j))[:, order]
         cuts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
         rows = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -68,10 +69,24 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(out)
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker freed to the system; where it can't be done, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped first."""
+    """``mapInArrow`` with the package shipped first; each task begins with what earlier ones freed given back."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def byte_groups(batch: pa.RecordBatch, text: str, most: int) -> Iterator[tuple[int, int]]:
