@@ -273,7 +273,8 @@ class Scorer:
     def begin(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.gates = np.empty((1 << 14, 6 * HIDDEN), np.float32)
+        # room for all at once, never copied: pages not written yet take no memory
+        self.gates = np.empty((KEPT_WORDS + 1, 6 * HIDDEN), np.float32)
         self.gates[0] = self.net.p["bx"]
 
     def learn(self, fresh: list[str]) -> None:
