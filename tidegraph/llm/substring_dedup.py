@@ -26,6 +26,12 @@ BUCKET_BYTES = 10 << 20
 SHORT_LIST = 8
 #: Contexts of an open list in a block, and tokens counted at once there.
 CROWD, COUNTED = 1024, 4096
+#: Contexts of a whole list that are looked at at once.
+LOOKED = 1 << 14
+#: Slots up to which each token has eight, not two.
+SLOTS = 1 << 24
+#: Bytes of contexts that a round may deal out, at least.
+ROUND_BYTES = 64 << 20
 #: Contexts that are tested against one at once.
 BANDED = 64
 #: Pairs of equal tokens of two slices that are held at once.
@@ -337,6 +343,41 @@ def can_link(codes: np.ndarray, docs: np.ndarray, least: int, need: int) -> np.n
     return rows
 
 
+def can_link_in_list(docs: np.ndarray, begins: np.ndarray, tokens: np.ndarray, least: int, need: int) -> np.ndarray:
+    """What ``can_link`` leaves of a whole list, or more: rows of ``docs`` with tokens from ``begins`` on.
+
+    Tokens are told apart by their last bits only, so that memory goes with the tokens; two that look the same
+    can keep a row, never take one away.
+    """
+    number = np.unique(docs, return_inverse=True)[1].astype(np.int32)
+    n, wide = np.diff(begins), reach_of(least, need)
+    rows = np.flatnonzero(n >= need)
+    while len(rows):
+        held_tokens = int(n[rows].sum())
+        slots = 1 << (max(2 * held_tokens, min(8 * held_tokens, SLOTS)) - 1).bit_length()
+        first, several = np.full(slots, -1, np.int32), np.zeros(slots, bool)
+        good = np.zeros(len(rows), bool)
+        for last in (False, True):
+            for a in range(0, len(rows), LOOKED):
+                own = rows[a:a + LOOKED]
+                ends = np.cumsum(n[own])
+                slot = tokens[np.repeat(begins[own] - (ends - n[own]), n[own]) + np.arange(int(ends[-1]))] & np.uint32(slots - 1)
+                if last:
+                    total = np.concatenate(([0], np.cumsum(several[slot])))
+                    at = np.arange(int(ends[-1]))
+                    held = total[np.minimum(at + wide, np.repeat(ends, n[own]))] - total[at]
+                    good[a:a + LOOKED] = np.maximum.reduceat(held, ends - n[own]) >= need
+                else:
+                    doc = np.repeat(number[own], n[own])
+                    new = first[slot] < 0
+                    first[slot[new]] = doc[new]
+                    several[slot[first[slot] != doc]] = True
+        if good.all():
+            break
+        rows = rows[good]
+    return rows
+
+
 def share_a_window(x: np.ndarray, ys: np.ndarray, least: int, need: int) -> np.ndarray:
     """Which rows of ``ys`` have a window of ``least`` places with ``need`` tokens of x, and x one with theirs."""
     _, number = np.unique(x, return_inverse=True)
@@ -426,6 +467,40 @@ def context_links(ids: np.ndarray, comps: np.ndarray, settled: np.ndarray, sides
     return out
 
 
+def dealt_contexts(classes: DataFrame, least: int) -> tuple[list[DataFrame], DataFrame]:
+    """Contexts of lists dealt to the pairs of their blocks, in rounds, and the table that these read beside ``classes``.
+
+    Lists of up to CROWD contexts are one block. Longer ones are first looked at whole, and only contexts that can
+    link in them go on. In a list of n blocks each row stands for n pairs; these are spread over as many rounds as
+    keep the copies of one round below the bytes of all contexts.
+    """
+    need = -(-2 * PERCENT * least // (100 + PERCENT))
+    columns = ["list", "h", "doc", "lo", "comp", "settled", "tokens"]
+    weigh = lambda table: table.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    sizes = weigh(classes)
+
+    def linkable(table: pa.Table) -> pa.Table:
+        give_back()
+        blobs = table.column("tokens").combine_chunks()
+        begins = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset:blobs.offset + len(blobs) + 1].astype(np.int64) // 4
+        rows = can_link_in_list(table.column("doc").to_numpy(), begins, np.frombuffer(blobs.buffers()[2], np.uint32, int(begins[-1])), least, need)
+        return table.select(columns).take(pa.array(rows))
+
+    long_lists = sizes.where(F.col("n") > CROWD).select("list")
+    crowds = materialize(classes.select(columns).join(long_lists, "list").groupBy("list").applyInArrow(linkable, "list long, h long, doc long, lo long, comp long, settled boolean, tokens binary"), "passage-crowds")
+    blocks = weigh(crowds).select("list", "bytes", F.ceil(F.col("n") / CROWD).alias("blocks"))
+    copies = int(blocks.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0)
+    rounds = partitions_for(copies, max(ROUND_BYTES, total_bytes(classes, "tokens")))
+    short = classes.select(columns).join(sizes.where(F.col("n").between(2, CROWD)).select("list"), "list").withColumn("blocks", F.lit(1).cast("long"))
+    out = []
+    for r in range(rounds):
+        rows = crowds.join(blocks.drop("bytes"), "list").select(*columns, "blocks")
+        rows = (rows.union(short) if r == 0 else rows).withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
+        ks = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (F.col("block") + k) % rounds == r)
+        out.append(rows.withColumn("k", F.explode(ks)).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")}).select("list", "i", "j", "block", "doc", "lo", "comp", "settled", "tokens"))
+    return out, crowds
+
+
 def merged(found: DataFrame) -> DataFrame:
     """Passages of a document and source joined where they overlap."""
     pair = Window.partitionBy("doc_id", "source_id").orderBy("begin_word", "end_word")
@@ -661,9 +736,8 @@ def _open_links(docs: DataFrame, windows: DataFrame, found: DataFrame, t: int, b
     heads = classes.select("list", "h", F.col("doc").alias("source_id"), F.col("comp").alias("home"))
     members = cut.join(heads, ["list", "h"]).where("doc > source_id and (not settled or comp <> home)")
     members = members.select(F.col("doc").alias("doc_id"), "source_id", F.col("lo").alias("begin_word"), (F.col("lo") + F.octet_length("tokens") / 4 + (SHINGLE - 1)).cast("long").alias("end_word"))
-    sizes = classes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = classes.join(sizes, "list").withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
+    out = materialize(members.distinct(), "passage-members")
+    discard(cut)
 
     def compare(table: pa.Table) -> pa.Table:
         lists, i, j, block, doc, lo, comp, settled = (table.column(c).to_numpy() for c in ("list", "i", "j", "block", "doc", "lo", "comp", "settled"))
@@ -681,10 +755,12 @@ def _open_links(docs: DataFrame, windows: DataFrame, found: DataFrame, t: int, b
         cols = list(zip(*rows)) if rows else [[]] * 4
         return pa.table([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "source_id", "begin_word", "end_word"])
 
-    near = dealt.select("list", "i", "j", "block", "doc", "lo", "comp", "settled", "tokens").groupBy(part(buckets * 4, "list", "i", "j")).applyInArrow(lambda table: compare(table), "doc_id long, source_id long, begin_word long, end_word long")
-    out = materialize(members.union(near).distinct(), "passage-more")
-    discard(cut, classes)
-    return out
+    rounds, crowds = dealt_contexts(classes, t)
+    for dealt in rounds:
+        near = dealt.groupBy(part(buckets * 4, "list", "i", "j")).applyInArrow(lambda table: compare(table), "doc_id long, source_id long, begin_word long, end_word long")
+        out = out.union(materialize(near.distinct(), "passage-more"))
+    discard(classes, crowds)
+    return out.distinct()
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
