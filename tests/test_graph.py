@@ -130,3 +130,17 @@ def test_affected_rows_are_told_once_and_pairs_are_not_dealt_out(spark, monkeypa
         assert sorted(map(tuple, got.collect())) == sorted(want)
     one = embedding.affected(edges, m.where("request > 4"), cap=None)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in one
+
+
+def hub_and_requests(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "SLICE", 50)
+    edges = live(spark, [(i, 1, 100000, i, i, False) for i in range(1, 401)], 1000)
+    return edges, spark.createDataFrame([(j, 5000 + j, 100000) for j in range(200)], "request long, src long, dst long")
+
+
+def test_affected_tells_each_neighbour_with_many_requests_in_a_run(spark, monkeypatch):
+    edges, m = hub_and_requests(spark, monkeypatch)
+    got = embedding.affected(edges, m, cap=None).collect()
+    assert sorted((r.request, r.node) for r in got) == sorted((j, n) for j in range(200) for n in (5000 + j, 100000, *range(1, 401)))
+    near = [r.node for r in got if r.node <= 400]
+    assert sum(a != b for a, b in zip(near, near[1:])) < len(near) / 10
