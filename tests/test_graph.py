@@ -144,3 +144,12 @@ def test_affected_tells_each_neighbour_with_many_requests_in_a_run(spark, monkey
     assert sorted((r.request, r.node) for r in got) == sorted((j, n) for j in range(200) for n in (5000 + j, 100000, *range(1, 401)))
     near = [r.node for r in got if r.node <= 400]
     assert sum(a != b for a, b in zip(near, near[1:])) < len(near) / 10
+
+
+def test_deferred_neighbours_of_a_hub_are_told_in_runs_too(spark, monkeypatch):
+    edges, m = hub_and_requests(spark, monkeypatch)
+    got = embedding.affected(edges, m, cap=None, hub_degree=60).collect()
+    want = {(j, n, "deferred") for j in range(200) for n in (100000, *range(1, 401))} | {(j, 5000 + j, "affected") for j in range(200)}
+    assert sorted(map(tuple, got)) == sorted(want)
+    near = [r.node for r in got if r.node <= 400]
+    assert sum(a != b for a, b in zip(near, near[1:])) < len(near) / 10
